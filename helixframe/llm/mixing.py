@@ -4,7 +4,7 @@ Each document of a source is due target / source_size copies. The whole part is
 inclusion probability. The flight phase moves probabilities through the null space of two constraints (the documents and
 the words drawn) three units at a time, until each unit but two is 0 or 1. It runs on blocks of a source that the hash of
 the id deals out; what the blocks leave undecided flies again, in fewer blocks, until one block of a source is left, and
-its landing problem of two units at most is settled by dropping constraints. Nothing depends on partitions or the order
+its landing problem of a dozen units is settled by weighing all their samples. Nothing depends on partitions or the order
 of rows: reruns agree.
 
 Null texts and empty texts have size 0 and are taken as any other; a source without words has target 0, and none of its
@@ -26,8 +26,8 @@ from helixframe.llm.common import WORD, stored
 WEIGHTS = (5, 2, 1)
 #: What the mix holds, as a share of all words; copies of a document at most.
 TOTAL, MOST = 1.5, 2
-#: Documents that fly in one block.
-BLOCK = 4000
+#: Documents that fly in one block; units of a source that the landing problem holds besides what the flight leaves.
+BLOCK, LANDING = 4000, 10
 _EPS = 1e-9
 
 
@@ -89,20 +89,19 @@ def flight(p: np.ndarray, size: np.ndarray, keys: list) -> np.ndarray:
     return p
 
 
-def land(p: np.ndarray, size: np.ndarray, keys: list) -> np.ndarray:
-    """Settle what is left: the word constraint goes first (one unit moves against the other), then the count."""
+def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Settle the units that are left, LANDING + 2 at most: of all their samples, the one whose words miss least.
+
+    Samples that miss the documents by more than one pay for it with the mean size; ties go to the first in order.
+    """
     p = p.copy()
-    left = [i for i in range(len(p)) if 0.0 < p[i] < 1.0]
-    while len(left) > 1:
-        a, b = left[:2]
-        up, down = min(1 - p[a], p[b]), min(p[a], 1 - p[b])
-        step = up if _uniform("l", keys[a], keys[b]) * (up + down) < down else -down
-        p[a], p[b] = p[a] + step, p[b] - step
-        for i in (a, b):
-            p[i] = 0.0 if p[i] < _EPS else 1.0 if p[i] > 1 - _EPS else p[i]
-        left = [i for i in left if 0.0 < p[i] < 1.0]
-    for i in left:
-        p[i] = float(_uniform("o", keys[i]) < p[i])
+    left = np.flatnonzero((p > 0) & (p < 1))
+    if not len(left):
+        return p
+    draws = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    miss = draws - p[left]
+    cost = np.abs(miss @ size[left]) + np.maximum(0, np.abs(miss.sum(1)) - 1) * max(1.0, size.mean())
+    p[left] = draws[int(np.round(cost, 6).argmin())]
     return p
 
 
@@ -112,9 +111,15 @@ def _fly(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
     scale = -np.floor(np.log2(pdf["size"].to_numpy(float) + 1))
     pdf = pdf.assign(scale=scale).sort_values(["scale", "h", "doc_id", "size"], kind="stable", na_position="last").drop(columns="scale").reset_index(drop=True)
     keys = [(int(h), i) for i, h in enumerate(pdf["h"])]
-    size = pdf["size"].to_numpy(float)
-    p = flight(pdf["p"].to_numpy(float), size, keys)
-    return pdf.assign(p=land(p, size, keys) if last else p)
+    size, p = pdf["size"].to_numpy(float), pdf["p"].to_numpy(float).copy()
+    if last:
+        # Some units of all sizes wait on the ground: the landing needs them to meet the total.
+        fly = np.ones(len(p), bool)
+        fly[np.unique(np.linspace(0, len(p) - 1, min(LANDING, len(p))).astype(int))] = False
+        at = np.flatnonzero(fly)
+        p[at] = flight(p[at], size[at], [keys[i] for i in at])
+        return pdf.assign(p=land(p, size))
+    return pdf.assign(p=flight(p, size, keys))
 
 
 def _flies(pdf: pd.DataFrame) -> pd.DataFrame:
