@@ -27,7 +27,7 @@ WEIGHTS = (5, 2, 1)
 #: What the mix holds, as a share of all words; copies of a document at most.
 TOTAL, MOST = 1.5, 2
 #: Documents that fly in one block; units of a source that the landing problem holds besides what the flight leaves.
-BLOCK, LANDING = 4000, 10
+BLOCK, LANDING = 4000, 13
 _EPS = 1e-9
 
 
