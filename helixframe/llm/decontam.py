@@ -52,7 +52,9 @@ def _windows(size: int | Column) -> Column:
     """Hashes of all windows of a size over canon, by position; none if it is shorter."""
     n = F.size("canon") - size + 1
     hashes = F.transform("canon", lambda c: F.xxhash64(c))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, size)))).otherwise(F.array().cast("array<bigint>"))
+    # Bound to a variable by the outer transform: an expression inside the inner one would be computed for each window.
+    all_ = F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, size))))
+    return F.when(n > 0, F.get(all_, F.lit(0))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _slots(at: Column, size: Column) -> Column:
