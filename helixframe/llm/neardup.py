@@ -7,10 +7,11 @@ hash of (bin, attempt) points to until it finds a full one. Bands of bins name b
 edge, to the hub, so a bucket of m members has m - 1 candidates however hot it is; each band picks hubs by its own order.
 Edges are confirmed on the full sets.
 
-A star leaves open pairs between members that the hub doesn't link. Where a bucket's members lie in more than one
-component after the confirmed edges, further rounds of stars compare the members of other components with new hubs, until
-no bucket holds two components whose members haven't met a hub of the other side or whose signatures rule them out; see
-near_duplicates(). Components are found by label propagation with pointer jumping over tables.
+A star leaves open the pairs between members that the hub doesn't link. Only where a bucket's members lie in more than one
+component after the confirmed edges do these matter: such buckets are dealt out in blocks of bounded bytes, and each task
+compares two blocks in place (components, sizes, earlier bands, signatures, then the full sets). It returns a spanning
+forest of the links it finds, never the pairs. So no link between documents that share a bucket is lost.
+Components are found by hanging neighbours on the smallest known id over tables.
 
 Null or empty texts, and texts of white space only, have the empty set: they link with nothing, not with each other.
 Repeated rows have equal sets. Extra columns are not read.
@@ -21,9 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import stored
@@ -32,8 +34,8 @@ SHINGLE, PERCENT = 5, 85
 #: A pair at the threshold misses all bands with a chance of (1 - 0.85 ** ROWS) ** BANDS, about 3 in 10 million.
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: Rounds of stars over buckets that still hold several components, before their members are compared by block.
-ROUNDS = 3
+#: Rows and shingles in a block of a bucket that the star leaves open.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_500_000
 
 _WORDS: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -168,12 +170,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return got.unionByName(got.select(F.col("component").alias("id"), "component").distinct())
 
 
-def _agree(a, b):
-    """Bins in which two sketches agree, of BINS."""
-    at = F.sequence(F.lit(1), F.lit(BINS))
-    return F.size(F.filter(at, lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))))
-
-
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose full sets are similar."""
     left = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
@@ -182,67 +178,99 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def _links(percent: int):
+    """For groups of open buckets: (a, b), a spanning forest of the links between the blocks of each bucket."""
+    # At the threshold bins agree by a chance of percent; seven standard deviations below that a pair is ruled out.
+    least = int(BINS * percent / 100 - 7 * (BINS * percent / 100 * (1 - percent / 100)) ** 0.5)
+
+    def bucket(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+        rep, c, n, block = (pdf[k].to_numpy() for k in ("rep", "c", "n", "block"))
+        cross = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        bands = np.stack(pdf["bands"].to_numpy())
+        sketch = np.stack([np.frombuffer(bytes(x), np.uint8) for x in pdf["sketch"]])
+        here = int(pdf["band"].iloc[0])
+        sets = pdf["set"].to_numpy()
+        above = list(range(len(rep)))
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        found = []
+        for x in range(len(rep)):
+            ok = (c[x + 1 :] != c[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))
+            if cross:
+                ok &= block[x + 1 :] != block[x]
+            others = x + 1 + np.flatnonzero(ok)
+            if not len(others):
+                continue
+            # A pair counts in the first band that it shares.
+            others = others[~(bands[others, :here] == bands[x, :here]).any(axis=1)]
+            others = others[(sketch[others] == sketch[x]).sum(axis=1) >= least]
+            for y in others:
+                if top(x) != top(y):
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * common >= percent * (n[x] + n[y] - common):
+                        found.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+                        above[top(x)] = top(y)
+        return found
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [e for _, part in pdf.groupby(["key", "i", "j"], sort=False) for e in bucket(part)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return group
+
+
+def _rest(member: DataFrame, comp: DataFrame, classes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The links that the stars left open: see _links()."""
+    tagged = member.join(comp, F.col("rep") == F.col("id"), "left").select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    spread = tagged.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    # Two members have met as hub and member.
+    spread = spread.where("c0 <> c1 and m > 2").withColumn("blocks", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("s") / BLOCK_SHINGLES)))
+    rows = stored(tagged.join(spread.select("key", "blocks"), "key"), "nd-open")
+    total = rows.agg(F.sum("n")).first()[0]
+    if total is None:
+        return None
+    # Small buckets share groups of about a block's size; each pair of blocks of a larger one is a group of its own.
+    groups = -(-int(total) // BLOCK_SHINGLES) * 4
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
+    g = F.when(F.col("blocks") > 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups)))
+    rows = rows.select(g.alias("g"), "key", "band", "rep", "n", "c", "block", "i", "j")
+    rows = rows.join(classes.select("rep", "bands", "sketch"), "rep").join(full.withColumnRenamed("doc_id", "rep"), "rep")
+    return rows.groupBy("g").applyInPandas(_links(percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     slim = docs.select("doc_id", "text")
     sets = stored(_sets(slim), "nd-sets")
-    classes = stored(
-        sets.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "nd-classes"
-    )
-    member = classes.select("rep", "n", F.posexplode("bands").alias("band", "key")).select("rep", "n", F.xxhash64("band", "key").alias("key"))
-    # Buckets of one are gone before anything is joined or stored.
-    sizes = member.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    member = stored(member.join(sizes, "key").select("key", "rep", "n"), "nd-members")
+    one = F.min_by(F.struct("bands", "sketch"), "doc_id").alias("one")
+    classes = sets.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), one)
+    classes = stored(classes.select("digest", "rep", "n", "one.*"), "nd-classes")
+    member = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    # Buckets of one are gone before anything is joined or stored. The hub is the smallest id: most buckets of a group of
+    # copies agree on it, so that their edges are the same.
+    hubs = member.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rep", "n")).alias("hub")).where("m > 1")
+    member = stored(member.join(hubs.select("key", "band", "hub"), ["key", "band"]), "nd-members")
     touched = member.select(F.col("rep").alias("doc_id")).distinct()
     full = stored(_shingle_sets(slim.join(touched, "doc_id", "left_semi")), "nd-full")
-    confirmed, tried, comp, open_ = None, None, None, member
-    for turn in range(rounds):
-        # The order of a bucket's members is by the hash of (member, bucket, turn): another hub in each.
-        order = F.struct(F.xxhash64("rep", "key", F.lit(turn)), F.col("rep"), F.col("n"))
-        hubs = open_.groupBy("key").agg(F.min(order).alias("o")).select("key", F.col("o.rep").alias("hub"), F.col("o.n").alias("hub_n"))
-        near = open_.join(hubs, "key").where("rep <> hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
-        edges = near.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        if comp is not None:
-            edges = edges.join(tried, ["a", "b"], "left_anti")
-            c = comp.select(F.col("id"), "component")
-            edges = edges.join(c.toDF("a", "ca"), "a", "left").join(c.toDF("b", "cb"), "b", "left")
-            edges = edges.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        edges = stored(edges, "nd-edges")
-        tried = edges if tried is None else tried.unionByName(edges)
-        good = stored(_confirmed(edges, full, percent), "nd-good")
-        confirmed = good if confirmed is None else confirmed.unionByName(good)
-        comp = stored(components(confirmed), "nd-comp")
-        # A bucket stays open while its members lie in several components.
-        tagged = member.join(comp, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        spread = tagged.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1 and m > 2")
-        open_ = stored(tagged.join(spread.select("key"), "key").select("key", "rep", "n", "c"), "nd-open")
-        if open_.isEmpty():
-            break
-    else:
-        confirmed, comp = _rest(open_, tried, full, classes, sets, confirmed, comp, percent)
+    near = member.where("rep <> hub.rep").where(F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
+    edges = stored(near.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct(), "nd-edges")
+    good = stored(_confirmed(edges, full, percent), "nd-good")
+    comp = stored(components(good), "nd-comp")
+    more = _rest(member.drop("hub"), comp, classes, full, percent)
+    if more is not None:
+        comp = stored(components(good.unionByName(more)), "nd-comp")
     by_class = classes.select("digest", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _rest(open_, tried, full, classes, sets, confirmed, comp, percent):
-    """The pairs that the stars left open: members of one bucket in different components, with sizes and signatures that
-    allow the similarity. A pair counts only where it is not yet tried, and once, whatever buckets it shares."""
-    sketch = sets.select(F.col("doc_id").alias("rep"), "sketch")
-    x = open_.join(sketch, "rep")
-    # Sizes within the threshold only: members are dealt by the logarithm of their size, and meet the two nearest steps.
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))))
-    x = x.withColumn("step", step)
-    y = x.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1))).toDF(*[f"{c}2" if c not in ("key", "step") else c for c in x.columns])
-    pair = x.join(y, ["key", "step"]).where("c <> c2").where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-    # At the threshold, bins agree by a chance of 0.85; 0.68 of 192 is seven standard deviations below.
-    pair = pair.where(_agree(F.col("sketch"), F.col("sketch2")) >= int(BINS * (percent / 100 - 0.17)))
-    edges = pair.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).where("a <> b").distinct()
-    edges = stored(edges.join(tried, ["a", "b"], "left_anti"), "nd-rest")
-    confirmed = confirmed.unionByName(_confirmed(edges, full, percent))
-    return confirmed, stored(components(confirmed), "nd-comp")
-
-
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     return near_duplicates(docs).withColumn("kept", F.col("doc_id") == F.col("component_id"))
