@@ -1,6 +1,6 @@
 """License scans with DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-Every line and every paragraph of a whole text is a unit; its terms weigh by tf * idf over the templates, terms that no
+Every line and every paragraph of a whole text is a unit; its terms weigh by tf * idf over the templates (stop words left out), terms that no
 template has by the largest idf. A unit's licence is the template with the largest cosine, from a least cosine on. Units
 without any anchor term can't reach that cosine with any template (see anchors()), so they are never exploded.
 
@@ -54,10 +54,13 @@ LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
 _TERM = r"[a-z0-9]+"
 
+#: Words that are no terms.
+STOP = tuple("a all an and any are as at be by can following for from in into is it may met not of on or shall that the this to under use with without you your".split())
+
 
 def _model(templates) -> tuple[dict[str, float], list[dict[str, float]], float]:
     """idf of the templates' terms, unit vectors of the templates, idf of any other term."""
-    docs = [Counter(re.findall(_TERM, t.lower())) for _, t in templates]
+    docs = [Counter(w for w in re.findall(_TERM, t.lower()) if w not in STOP) for _, t in templates]
     n = len(docs)
     df = Counter(w for d in docs for w in d)
     idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in df.items()}
@@ -73,23 +76,21 @@ def anchors(templates=TEMPLATES, least: float = LEAST) -> list[str]:
     """Terms of which a unit needs one to reach the least cosine with any template.
 
     By Cauchy and Schwarz a unit's cosine is at most the norm of the template's vector over the terms they share. Terms
-    are taken by falling weight until what is left of every template is below the least cosine.
+    are taken by falling weight, long ones (rare in prose) first, until what is left of every template is below the least.
     """
     _, vectors, _ = _model(templates)
     chosen: set[str] = set()
-    while True:
-        open_ = [v for v in vectors if math.sqrt(sum(x * x for w, x in v.items() if w not in chosen)) >= least]
-        if not open_:
-            return sorted(chosen)
-        gain = Counter()
-        for v in open_:
-            for w, x in v.items():
-                if w not in chosen and len(w) > 3:
-                    gain[w] += x * x
-        if not gain:
-            for v in open_:
-                gain.update({w: x * x for w, x in v.items() if w not in chosen})
-        chosen.add(max(gain, key=lambda w: (gain[w], w)))
+    for length in (6, 5, 4, 1):
+        while True:
+            gain: Counter = Counter()
+            for v in vectors:
+                rest = {w: x for w, x in v.items() if w not in chosen}
+                if math.sqrt(sum(x * x for x in rest.values())) >= least:
+                    gain.update({w: x * x for w, x in rest.items() if len(w) >= length})
+            if not gain:
+                break
+            chosen.add(max(gain, key=lambda w: (gain[w], w)))
+    return sorted(chosen)
 
 
 def template_terms(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -113,6 +114,7 @@ def own_licenses(files: DataFrame, text_col: str = "text", templates=TEMPLATES,
     units = F.array_distinct(F.filter(F.concat(lines, paragraphs), lambda u: u.rlike(has)))
     units = some.select("key", F.posexplode(units).alias("u", "unit"))
     terms = units.select("key", "u", F.explode(F.regexp_extract_all("unit", F.lit(_TERM), F.lit(0))).alias("term"))
+    terms = terms.where(~F.col("term").isin(*STOP))
     tf = terms.groupBy("key", "u", "term").agg(F.count(F.lit(1)).alias("tf"))
     # The templates' terms: some hundred rows, a bound that the parameter sets.
     known = tf.join(F.broadcast(template_terms(spark, templates)), "term", "left")
