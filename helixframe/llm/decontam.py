@@ -27,48 +27,66 @@ UNITS = (
     " months year years dollar dollars euro euros cent cents percent degree degrees"
 ).split()
 
-_NAME = "\u0002"
+#: Marks before a name and a number.
+_NAME, _NUMBER = "\u0002", "\u0003"
 
 
 def tokens(text: Column) -> Column:
-    """Words and numbers in order. A capitalised word inside a sentence is marked as a name."""
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _NAME, " "), r"(?<=[\p{L}\p{N},;:]\s)(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f"{_NAME}$1")
-    return F.regexp_extract_all(marked, F.lit(f"{_NAME}?[\\p{{L}}\\p{{M}}]+|\\p{{N}}+(?:[.,:/]\\p{{N}}+)*"), F.lit(0))
+    """Words and numbers in order, in lower case. Numbers, and capitalised words inside a sentence (names), are marked."""
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(_NAME), F.lit(" ")), F.lit(_NUMBER), F.lit(" "))
+    # The capital comes first: the look behind it is only taken where there is one.
+    named = F.regexp_replace(plain, r"(\p{Lu})(?<=[\p{L}\p{N},;:]\s\p{Lu})(\p{Ll}+)(?![\p{L}\p{N}])", f"{_NAME}$1$2")
+    counted = F.regexp_replace(named, r"\p{N}+(?:[.,:/]\p{N}+)*", f" {_NUMBER}$0 ")
+    return F.regexp_extract_all(F.lower(counted), F.lit(f"{_NAME}?[\\p{{L}}\\p{{M}}]+|{_NUMBER}[^ ]+"), F.lit(0))
 
 
 def canonical(token: Column) -> Column:
     """The token in the template."""
-    low = F.lower(token)
-    return F.when(token.startswith(_NAME), F.lit("<name>")).when(token.rlike(r"^\p{N}"), F.lit("<num>")).when(low.isin(UNITS), F.lit("<unit>")).otherwise(low)
+    return F.when(token.startswith(_NAME), F.lit("<name>")).when(token.startswith(_NUMBER), F.lit("<num>")).when(token.isin(UNITS), F.lit("<unit>")).otherwise(token)
 
 
 def _templated(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """name, toks, canon: array of templates."""
-    out = df.select(df[id_col].alias(name), tokens(df[text_col]).alias("toks"))
-    return out.withColumn("canon", F.transform("toks", canonical))
+    return df.select(df[id_col].alias(name), tokens(df[text_col]).alias("toks"))
 
 
-def _windows(size: int | Column) -> Column:
-    """Hashes of all windows of a size over canon, by position; none if it is shorter."""
-    n = F.size("canon") - size + 1
-    hashes = F.transform("canon", lambda c: F.xxhash64(c))
-    # Bound to a variable by the outer transform: an expression inside the inner one would be computed for each window.
-    all_ = F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, size))))
-    return F.when(n > 0, F.get(all_, F.lit(0))).otherwise(F.array().cast("array<bigint>"))
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once: an expression inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _hashed(h: Column, size: int) -> Column:
+    """Hashes of runs of size elements of h, from pairs of shorter runs; the last size - 1 have no meaning."""
+    if size == 1:
+        return h
+    k = size // 2
+    pair = lambda a, b: F.xxhash64(a, b)
+    if 2 * k == size:
+        return _let(_hashed(h, k), lambda v: F.zip_with(v, F.slice(v, k + 1, F.size(v)), pair))
+    return F.zip_with(_hashed(h, k), F.slice(_hashed(h, size - k), k + 1, F.size(h)), pair)
+
+
+def _windows(size: int) -> Column:
+    """Hashes of all template windows of a size over toks, by position; none if it is shorter."""
+    n = F.size("toks") - size + 1
+    hashes = F.transform("toks", lambda t: F.xxhash64(canonical(t)))
+    return F.when(n > 0, F.slice(_let(hashes, lambda h: _hashed(h, size)), 1, F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _slots(at: Column, size: Column) -> Column:
     """Values of the placeholders in a window; null for literals."""
-    pairs = F.arrays_zip(F.slice("toks", at, size).alias("t"), F.slice("canon", at, size).alias("c"))
-    return F.transform(pairs, lambda p: F.when(p["c"].startswith("<"), F.lower(p["t"])))
+    return F.transform(F.slice("toks", at, size), lambda t: F.when(canonical(t).startswith("<"), t))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """h, item_id, ipos, size, item_windows, item_slots: windows with enough literal tokens."""
     items = _templated(benchmark, id_col, text_col, "item_id").where(F.size("toks") > 0)
     items = items.withColumn("size", F.least(F.size("toks"), F.lit(window)))
-    items = items.withColumn("at", F.sequence(F.lit(1), F.size("toks") - F.col("size") + 1)).withColumn("ipos", F.explode("at"))
-    rows = items.withColumn("h", F.xxhash64(F.slice(F.transform("canon", lambda c: F.xxhash64(c)), F.col("ipos"), F.col("size"))))
+    rows = None
+    for (size,) in items.select("size").distinct().orderBy("size").limit(window).collect():
+        part = items.where(F.col("size") == size).select("item_id", "toks", "size", F.posexplode(_windows(size)).alias("p", "h")).withColumn("ipos", F.col("p") + 1)
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        rows = items.select("item_id", "toks", "size", F.lit(0).alias("p"), F.lit(0).cast("bigint").alias("h"), F.lit(1).alias("ipos"))
     rows = rows.withColumn("item_slots", _slots(F.col("ipos"), F.col("size")))
     spoken = F.size(F.filter("item_slots", lambda v: v.isNull()))
     rows = rows.where(spoken >= F.least(F.lit(literals), F.col("size")))
@@ -100,7 +118,7 @@ def matches(
     out = None
     for size in sizes or [window]:
         # Filters on the exploded hash run inside the scan's stage: only windows that hit leave it.
-        part = texts.select("id", "toks", "canon", F.posexplode(_windows(size)).alias("p", "h")).withColumn("at", F.col("p") + 1)
+        part = texts.select("id", "toks", F.posexplode(_windows(size)).alias("p", "h")).withColumn("at", F.col("p") + 1)
         hit = part.join(bench.where(F.col("size") == size), "h").select(
             "id", "item_id", "ipos", "item_windows", (F.col("at") - F.col("ipos")).alias("shift"), "item_slots", _slots(F.col("at"), F.lit(size)).alias("doc_slots")
         )
