@@ -12,15 +12,12 @@ from pyspark.sql import functions as F
 from helixframe.llm import decontam, langid, mixing, neardup, toxicity
 from helixframe.llm.common import read_table, stored
 
-#: A language below this probability counts as not recognised.
-LEAST_LANGUAGE_SCORE = 0.35
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; texts without a letter go."""
+    """Documents with a language; null texts and texts without a letter go."""
     net = langid.fit(docs.select("doc_id", "text", "lang"), held_out=langid.held_out())
     judged = langid.predict(docs, net)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
