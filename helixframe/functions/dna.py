@@ -14,6 +14,11 @@ IUPAC, COMPLEMENT = "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn", "TGCAAKYWSRMBDHVNtgcaaky
 COLOURS = ("AA0", "CC0", "GG0", "TT0", "AC1", "CA1", "GT1", "TG1", "AG2", "GA2", "CT2", "TC2", "AT3", "TA3", "CG3", "GC3")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value bound to a variable: inside a lambda an expression is computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def complement(seq: Column) -> Column:
     return F.translate(seq, IUPAC, COMPLEMENT)
 
@@ -61,8 +66,8 @@ def quality_values(quals: Column, base: int = 33) -> Column:
 
 def mean_quality(quals: Column, base: int = 33) -> Column:
     """Mean Phred value, rounded half to even; null for an empty read."""
-    q = quality_values(quals, base)
-    return F.when(F.size(q) > 0, F.bround(F.aggregate(q, F.lit(0), lambda a, x: a + x) * 1.0 / F.size(q), 0)).cast("int")
+    n = F.length(quals)
+    return F.when(n > 0, F.bround(F.aggregate(quality_values(quals, base), F.lit(0), lambda a, x: a + x) * 1.0 / n, 0)).cast("int")
 
 
 def error_sum(quals: Column, base: int = 33) -> Column:
@@ -152,7 +157,7 @@ def zero_cap(quals: Column, base: int = 33) -> Column:
 def colour_encode(seq: Column) -> Column:
     """First base, then one colour for each pair of neighbours; . where a base is unknown."""
     pairs = F.create_map(*[F.lit(x) for c in COLOURS for x in (c[:2], c[2])])
-    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - 1, F.lit(1))), lambda i: F.coalesce(F.try_element_at(pairs, F.substring(seq, i, F.lit(2))), F.lit(".")))
+    steps = let(seq, lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.coalesce(F.try_element_at(pairs, F.substring(s, i, F.lit(2))), F.lit("."))))
     return F.when(F.length(seq) < 2, seq).otherwise(F.concat(F.substring(seq, 1, 1), F.array_join(steps, "")))
 
 

@@ -186,8 +186,10 @@ def _rounds(adapters: Sequence[Adapter], seqs: list[str], quals: list[str | None
             else:
                 now[x], nowq[x] = s[: g[2]], None if q is None else q[: g[2]]
                 cut[x][1] += len(s) - g[2]
-            if a.where == "linked" and now[x]:
-                (b,) = match_batch(a.back, [now[x]])
+        # The second part of linked adapters: all reads of an adapter at once.
+        for a in {adapters[o] for _, o in best.values() if adapters[o].where == "linked"}:
+            xs = [x for x, (_, o) in best.items() if adapters[o] is a and now[x]]
+            for x, b in zip(xs, match_batch(a.back, [now[x] for x in xs])):
                 if b is not None:
                     s, q = now[x], nowq[x]
                     found[x].append({"adapter": a.name, "front": False, "astart": b[0], "astop": b[1], "rstart": b[2], "rstop": b[3], "matches": b[4], "errors": b[5], "length": len(s), "adjacent": "" if b[2] == 0 or s[b[2] - 1] not in "ACGT" else s[b[2] - 1], "sequence": s, "qualities": q})

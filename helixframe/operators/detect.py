@@ -12,12 +12,14 @@ from helixframe.functions import dna
 
 #: Reads that a detector looks at by default, up to which it uses the heuristic, and rows that a report holds.
 MAX_READS, HEURISTIC_READS, TOP = 10_000, 50_000, 20
+#: K-mers of known sequences that are broadcast at most (about 60 bytes each); beyond, the join shuffles.
+BROADCAST_KMERS = 200_000
 
 
 def kmers(seq: Column, k: int) -> Column:
     """All k-mers in order."""
-    n = F.length(seq) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    at = lambda s: F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1)))
+    return dna.let(seq, lambda s: F.when(F.length(s) >= k, F.transform(at(s), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>")))
 
 
 def prefiltered(reads: DataFrame, k: int = 12) -> DataFrame:
@@ -47,10 +49,14 @@ def known_fractions(reads: DataFrame, contaminants: list[tuple[str, str]], k: in
             found = {s[i : i + k] for i in range(len(s) - k + 1)}
             rows += [(name, strand, x, len(found)) for x in sorted(found)]
     known = spark.createDataFrame(rows, "name string, strand string, kmer string, known_kmers int")
-    own = reads.select("sequence").distinct().select("sequence", F.array_distinct(kmers(F.col("sequence"), k)).alias("ks")).where(F.size("ks") > 0)
-    hit = own.select("sequence", F.size("ks").alias("m"), F.explode("ks").alias("kmer")).join(known, "kmer")
-    by = hit.groupBy("sequence", "name", "strand").agg(F.count(F.lit(1)).alias("c"), F.max("m").alias("m"), F.max("known_kmers").alias("known"))
-    best = by.groupBy("sequence", "name").agg(F.max(F.col("c") / F.col("m")).alias("f"), F.max(F.col("c") / F.col("known")).alias("kf"))
+    if len(rows) <= BROADCAST_KMERS:
+        known = F.broadcast(known)
+    own = reads.select("sequence").distinct().where(F.length("sequence") >= k)
+    own = own.select(F.xxhash64("sequence").alias("id"), F.reverse("sequence").alias("s"), F.array_distinct(kmers(F.col("sequence"), k)).alias("ks"))
+    # A read is known by two hashes from here on: its text would travel with each of its k-mers.
+    hit = own.select("id", F.xxhash64("s").alias("id2"), F.size("ks").alias("m"), F.explode("ks").alias("kmer")).join(known, "kmer")
+    by = hit.groupBy("id", "id2", "name", "strand").agg(F.count(F.lit(1)).alias("c"), F.max("m").alias("m"), F.max("known_kmers").alias("known"))
+    best = by.groupBy("id", "id2", "name").agg(F.max(F.col("c") / F.col("m")).alias("f"), F.max(F.col("c") / F.col("known")).alias("kf"))
     return best.where(F.col("f") > least).groupBy("name").agg(F.count(F.lit(1)).alias("reads"), F.max("kf").alias("kmer_fraction"))
 
 

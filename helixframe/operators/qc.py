@@ -17,7 +17,8 @@ def totals(reads: DataFrame, by: str = "source") -> DataFrame:
 
 
 def histogram(reads: DataFrame, value: Column, name: str) -> DataFrame:
-    return reads.select(value.alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    """Counts of a value's values. Nulls go after the counting: a filter below would compute the value twice."""
+    return reads.groupBy(value.alias(name)).agg(F.count(F.lit(1)).alias("n")).where(F.col(name).isNotNull())
 
 
 def length_histogram(reads: DataFrame) -> DataFrame:
@@ -52,8 +53,8 @@ def tile(name: Column, pattern: str = TILE) -> Column:
 
 def tile_qualities(reads: DataFrame, base: int = 33) -> DataFrame:
     """Reads by tile and mean quality."""
-    rows = reads.select(tile(F.col("name")).alias("tile"), dna.mean_quality(F.col("qualities"), base).alias("mean_quality"))
-    return rows.where(F.col("mean_quality").isNotNull()).groupBy("tile", "mean_quality").agg(F.count(F.lit(1)).alias("n"))
+    by = reads.groupBy(tile(F.col("name")).alias("tile"), dna.mean_quality(F.col("qualities"), base).alias("mean_quality")).agg(F.count(F.lit(1)).alias("n"))
+    return by.where(F.col("mean_quality").isNotNull())
 
 
 def position_tile_qualities(reads: DataFrame, base: int = 33) -> DataFrame:
