@@ -192,18 +192,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(texts, langs)
 
 
-def predict(docs: DataFrame, net: ByteCNN, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep (all), lang_pred and score; input columns of these two names are replaced."""
-    slim = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, net: ByteCNN, text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep (all), language and score under the names in out; input columns of these names are replaced."""
+    slim = docs.drop(*out)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kept = [c for c in slim.columns if keep is None or c in keep]
     at, held = slim.columns.index(text_col), [slim.columns.index(c) for c in kept]
-    schema = T.StructType([*[slim.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[slim.schema[c] for c in kept], T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = classify(shared.value, batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in held], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in held], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *out])
 
     return slim.mapInArrow(rows, schema)
 

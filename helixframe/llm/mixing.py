@@ -141,7 +141,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MO
     rows = rows.withColumn("p", F.greatest(F.col("due") - F.col("base"), F.lit(0.0)))
     # Rows that agree in everything are units of their own: n numbers them, spread by the hash of the id.
     rows = rows.withColumn("h", F.xxhash64("doc_id", "size")).withColumn("blocks", F.ceil(F.col("n_docs") / F.lit(block)))
-    slim = rows.select("doc_id", "source", "size", "source_size", "target", "base", "p", "h", "n_docs", "blocks")
+    # The id passes through pandas as text: a null beside it must not turn it into a float.
+    kind = docs.schema["doc_id"].dataType
+    slim = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "size", "source_size", "target", "base", "p", "h", "n_docs", "blocks")
     slim = slim.withColumn("n", F.pmod(F.xxhash64("h", F.lit(7)), F.col("blocks")))
     schema = slim.schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ")
     biggest = goals.agg(F.max("n_docs")).first()[0] or 0
@@ -161,4 +163,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MO
     for more in done[1:]:
         out = out.unionByName(more)
     copies = (F.col("base") + F.round("p")).cast("bigint")
-    return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -94,17 +94,18 @@ def votes(r: np.ndarray) -> tuple[int, ...]:
 
     if not r.any():
         return (-1, -1, -1, -1, -1, -1, 0, -1, -1)
-    long = x["length"] > np.log1p(40) / 8
+    # Shares of a few words say nothing about repetition.
+    enough, long = x["length"] > np.log1p(12) / 8, x["length"] > np.log1p(40) / 8
     return (
-        vote(x["symbols"] > 0.08, x["symbols"] < 0.01),
-        vote(x["upper"] > 0.4, x["upper"] < 0.15),
-        vote(x["top_word"] > 0.25, x["top_word"] < 0.12),
-        vote(x["run"] > 0.15, x["run"] < 0.03 and long),
+        vote(x["symbols"] > 0.05, x["symbols"] < 0.01),
+        vote(x["upper"] > 0.4 and enough, x["upper"] < 0.15),
+        vote(x["top_word"] > 0.25 and enough, x["top_word"] < 0.12),
+        vote(x["run"] > 0.1 and enough, x["run"] < 0.03 and long),
         vote(x["stops"] < 0.12 and long, x["stops"] > 0.25),
         vote(x["bars"] > 0.2 or x["bangs"] > 0.2, x["bars"] == 0 and x["bangs"] < 0.02),
-        vote(x["length"] < np.log1p(3) / 8, long and x["repeats"] < 0.2),
-        vote(x["longest"] > 0.2, x["longest"] < 0.16 and long),
-        vote(x["after"] < 0.4, x["after"] > 0.6 and long),
+        vote(False, long and x["repeats"] < 0.2),
+        vote(x["longest"] >= 0.25, x["longest"] < 0.16 and long),
+        vote(x["after"] < 0.4 and enough, x["after"] > 0.6 and long),
     )
 
 
@@ -126,9 +127,14 @@ class Labellers:
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray) -> Labellers:
-    """Dawid and Skene's estimate from counts of vote patterns. It starts from the votes' majority: better than chance."""
+    """Dawid and Skene's estimate from counts of vote patterns.
+
+    It starts from the share of poor votes, counted thrice: each labeller knows a few kinds of poor text only, so that a
+    vote for good means less than one for poor. The rounds settle how much less.
+    """
     yes, no = (patterns == 1).astype(float), (patterns == 0).astype(float)
-    q = np.clip((yes.sum(1) + 0.7) / (yes.sum(1) + no.sum(1) + 1), 0.05, 0.95)
+    q = np.clip((yes.sum(1) + 0.7) / (yes.sum(1) + 3 * no.sum(1) + 1), 0.05, 0.95)
+    q = np.where(no.sum(1) > 0, np.minimum(q, 0.4), q)
     model = Labellers(0.7, np.full(patterns.shape[1], 0.7), np.full(patterns.shape[1], 0.3))
     for _ in range(EM_ROUNDS):
         g, p = counts * q, counts * (1 - q)

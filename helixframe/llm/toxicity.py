@@ -216,20 +216,20 @@ def fit(labelled: DataFrame, identity=IDENTITY, per_class: int = TRAIN_PER_CLASS
     return train(texts, got["label"].tolist(), pairs, cf_weight)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep (all), score and predicted; input columns of these two names are replaced."""
-    slim = docs.drop("score", "predicted")
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns in keep (all), score and decision under the names in out; input columns of these names are replaced."""
+    slim = docs.drop(*out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in slim.columns if keep is None or c in keep]
     at, held = slim.columns.index(text_col), [slim.columns.index(c) for c in kept]
-    schema = T.StructType([*[slim.schema[c] for c in kept], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*[slim.schema[c] for c in kept], T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
             z = np.array([shared.value.score_words(words_of(t), cache) for t in batch.column(at).to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in held], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in held], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=[*kept, *out])
 
     return slim.mapInArrow(rows, schema)
 
