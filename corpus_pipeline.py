@@ -16,14 +16,14 @@ from helixframe.llm.common import read_table, stored
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; null texts and texts without a letter go."""
     net = langid.fit(docs.select("doc_id", "text", "lang"), held_out=langid.held_out())
-    judged = langid.predict(docs, net)
-    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    judged = langid.predict(docs, net, out=("__lang", "__lang_score"))
+    return judged.where(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
     model = toxicity.learnt(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.score(docs, model, out=("__score", "__toxic")).where(F.col("__toxic") == 0).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with how often, in the columns copies and taken."""
-    drawn = mixing.mix(docs).where(F.col("copies") > 0).select("doc_id", "size", "source_size", "target", "copies", "taken")
-    return docs.join(drawn, "doc_id").select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    own = ["size", "source_size", "target", "copies", "taken"]
+    drawn = mixing.mix(docs).where(F.col("copies") > 0).select("doc_id", *own)
+    return docs.drop(*own).join(drawn, "doc_id")
 
 
 STAGES = [
