@@ -66,4 +66,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _url_sql() -> str:
+    """The rules, longest first, as CASE; then the listed hosts."""
+    fits = lambda h: f"(host = '{h}' OR ends_with(host, '.{h}'))"
+    rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1]))
+    case = lambda pick: " ".join(f"WHEN {fits(h)} AND starts_with(path, '{p}') THEN '{pick(v, h, p)}'" for v, h, p in rules)
+    listed = " OR ".join(fits(h) for h in url_filter.BLOCKED_HOSTS)
+    return f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+SELECT page_id, host, path, CASE {case(lambda v, h, p: h + p)} ELSE NULL END AS rule,
+CASE {case(lambda v, h, p: v)} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict, ({listed}) AS listed FROM h"""
+
+
+ORACLES: dict[str, str] = {
+    "op10_url_filters": _url_sql(),
+    "op5_minhash_neardup": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) END AS sh FROM d),
+n AS (SELECT doc_id, len(sh) AS n FROM s), e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS far FROM documents UNION SELECT r.id, g.b FROM r JOIN g ON g.a = r.far)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id, n.doc_id = m.component_id AS kept FROM n JOIN (SELECT id, min(far) AS component_id FROM r GROUP BY 1) m ON m.id = n.doc_id""",
+}
