@@ -81,7 +81,39 @@ SELECT page_id, host, path, CASE {case(lambda v, h, p: h + p)} ELSE NULL END AS
 CASE {case(lambda v, h, p: v)} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict, ({listed}) AS listed FROM h"""
 
 
+def _tokens_sql(text: str) -> str:
+    """Tokens of a text. A pattern here can't look behind, so a name takes what stands around it along; three passes reach
+    names in a row, whose surroundings overlap."""
+    out = f"translate(coalesce({text}, ''), chr(2) || chr(3), '  ')"
+    for _ in range(3):
+        out = rf"regexp_replace({out}, '([\p{{L}}\p{{N}},;:][ \t\n\x0B\f\r])(\p{{Lu}}\p{{Ll}}+)([^\p{{L}}\p{{N}}]|$)', '\1' || chr(2) || '\2\3', 'g')"
+    out = rf"regexp_replace({out}, '\p{{N}}+([.,:/]\p{{N}}+)*', ' ' || chr(3) || '\0 ', 'g')"
+    return rf"regexp_extract_all(lower({out}), '\x02?[\p{{L}}\p{{M}}]+|\x03[^ ]+')"
+
+
+def _leaks_sql() -> str:
+    units = ", ".join(f"'{u}'" for u in decontam.UNITS)
+    canonical = f"[CASE WHEN starts_with(x, chr(2)) THEN '<name>' WHEN starts_with(x, chr(3)) THEN '<num>' WHEN x IN ({units}) THEN '<unit>' ELSE x END for x in toks]"
+    return f"""WITH b0 AS (SELECT item_id, {_tokens_sql('text')} AS toks FROM benchmark),
+b1 AS (SELECT item_id, toks, {canonical} AS can, least(len(toks), {decontam.WINDOW}) AS size FROM b0 WHERE len(toks) > 0),
+b2 AS (SELECT *, unnest(range(1, len(toks) - size + 2)) AS ipos FROM b1),
+b3 AS (SELECT DISTINCT item_id, size, ipos, can[ipos:ipos + size - 1] AS can, toks[ipos:ipos + size - 1] AS toks FROM b2),
+b4 AS (SELECT * FROM b3 WHERE len([c for c in can if NOT starts_with(c, '<')]) >= least({decontam.LITERALS}, size)),
+n AS (SELECT item_id, count(DISTINCT ipos) AS item_windows FROM b4 GROUP BY 1),
+d0 AS (SELECT doc_id, {_tokens_sql('text')} AS toks FROM documents),
+d1 AS (SELECT doc_id, toks, {canonical} AS can FROM d0),
+d2 AS (SELECT *, unnest(range(1, len(toks) - size + 2)) AS dpos FROM d1, (SELECT DISTINCT size FROM b4) WHERE len(toks) >= size),
+d3 AS (SELECT doc_id, size, dpos, can[dpos:dpos + size - 1] AS can, toks[dpos:dpos + size - 1] AS toks FROM d2),
+m AS (SELECT doc_id, item_id, ipos, dpos - ipos AS shift, d3.can AS can, b4.toks AS i, d3.toks AS d FROM d3 JOIN b4 ON d3.size = b4.size AND d3.can = b4.can),
+v AS (SELECT doc_id, item_id, shift, unnest(can) AS c, unnest(i) AS i, unnest(d) AS d FROM m),
+s AS (SELECT doc_id, item_id, shift, count(DISTINCT i) <> count(DISTINCT (i, d)) AS clash, bool_or(i <> d) AS other FROM v WHERE starts_with(c, '<') GROUP BY 1, 2, 3),
+k AS (SELECT m.doc_id, m.item_id, m.ipos, coalesce(s.other, false) AS other FROM m LEFT JOIN s ON m.doc_id = s.doc_id AND m.item_id = s.item_id AND m.shift = s.shift WHERE NOT coalesce(s.clash, false)),
+r AS (SELECT k.doc_id, k.item_id, cast(count(DISTINCT ipos) AS int) AS matched_windows, cast(max(item_windows) AS int) AS item_windows, bool_or(other) AS reparameterised FROM k JOIN n ON k.item_id = n.item_id GROUP BY 1, 2)
+SELECT doc_id, item_id, matched_windows, item_windows, matched_windows::DOUBLE / item_windows AS coverage, reparameterised FROM r WHERE matched_windows::DOUBLE / item_windows >= {decontam.COVERED}"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": _leaks_sql(),
     "op10_url_filters": _url_sql(),
     "op5_minhash_neardup": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) END AS sh FROM d),
