@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from helixframe.functions import dna
 from helixframe.operators import kernels
@@ -30,18 +30,18 @@ def read_struct(name: Column, sequence: Column, qualities: Column) -> Column:
 def _over_pairs(pairs: DataFrame, work) -> DataFrame:
     """work(list of r1 dicts, list of r2 dicts) changes the reads of a batch in place; r2 may become None."""
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                one, two = ([None if r is None else dict(r) for r in pdf[c]] for c in ("r1", "r2"))
-                for r in (*one, *two):
-                    if r is not None:
-                        r["matches"] = [dict(m) for m in r["matches"]]
+    schema = to_arrow_schema(T.StructType.fromDDL(PAIR))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (batch.column(c).to_pylist() for c in ("r1", "r2"))
                 both = [x for x in range(len(one)) if one[x] is not None and two[x] is not None]
                 work(one, two, both)
-                yield pd.DataFrame({"read_idx": pdf["read_idx"], "r1": one, "r2": two})
+                columns = [batch.column("read_idx"), *(pa.array(r, schema.field(c).type) for c, r in (("r1", one), ("r2", two)))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return pairs.select("read_idx", "r1", "r2").mapInPandas(rows, PAIR)
+    return pairs.select("read_idx", "r1", "r2").mapInArrow(rows, PAIR)
 
 
 def _record(read: dict, adapter: Adapter, astop: int, rstart: int, rstop: int, matches: int, errors: int) -> None:
