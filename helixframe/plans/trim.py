@@ -215,6 +215,20 @@ def summary(routed: DataFrame) -> DataFrame:
     return by.join(F.broadcast(total), F.lit(True)).withColumn("fraction_records", F.col("records") / F.col("total_records"))
 
 
+def pair_summary(routed: DataFrame) -> DataFrame:
+    """Per dest: pairs, and for each mate bases and reads with adapters, with shares of all. A missing mate has no bases."""
+    sums = [F.count(F.lit(1)).alias("n_pairs")]
+    for k in ("1", "2"):
+        sums.append(F.sum(F.coalesce(F.length(f"r{k}.sequence"), F.lit(0))).alias(f"read{k}_bp"))
+        sums.append(F.sum(F.col(f"r{k}.adapter_name").isNotNull().cast("long")).alias(f"read{k}_with_adapters"))
+    by = routed.groupBy("dest").agg(*sums)
+    parts = ("n_pairs", "read1_bp", "read2_bp")
+    total = by.agg(*[F.sum(c).alias(f"total_{c}") for c in parts])
+    # One row: the totals.
+    out = by.join(F.broadcast(total), F.lit(True))
+    return out.withColumns({f"fraction_{c}": F.when(F.col(f"total_{c}") > 0, F.col(c) / F.col(f"total_{c}")) for c in parts})
+
+
 def statistics(reads: DataFrame) -> dict[str, DataFrame]:
     """All statistics of a frame of single reads, before or after trimming."""
     return {

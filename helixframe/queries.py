@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import dna
 from helixframe.operators import adapters as ad
-from helixframe.operators import detect, error, filters, modifiers, pairs, qc
-from helixframe.plans.trim import TrimOptions, TrimPlan, summary
+from helixframe.operators import colours, detect, error, filters, modifiers, pairs, qc
+from helixframe.plans.trim import TrimOptions, TrimPlan, pair_summary, summary
 from helixframe.sources import sinks
 
 ADAPTER1, ADAPTER2 = "AGATCGGAAGAGCACACGTC", "AGATCGGAAGAGCGTCGTGT"
@@ -205,6 +205,33 @@ def colour_round_trip(r):
     return s.select("read_idx", dna.colour_decode(dna.colour_encode(F.col("sequence"))).alias("sequence"))
 
 
+def _in_colours(r: DataFrame) -> DataFrame:
+    """The reads in colour space: the first base is the primer."""
+    c = dna.colour_encode(F.col("sequence"))
+    return r.withColumns({"primer": F.substring("sequence", 1, 1), "sequence": F.substring(c, F.lit(2), F.length("sequence")), "qualities": F.substring("qualities", F.lit(2), F.length("sequence"))})
+
+
+def _colours_sql(table: str) -> str:
+    """e: the colours of a table's sequences, of those that have any."""
+    return f"c AS (SELECT read_idx, i, substr(sequence, i, 2) AS p FROM (SELECT *, unnest(range(1, length(sequence))) AS i FROM {table} WHERE length(sequence) > 1)), e AS (SELECT read_idx, string_agg({_COLOUR}, '' ORDER BY i) AS s FROM c GROUP BY read_idx)"
+
+
+_CP = "strpos(s, '23031')"
+
+
+@query(f"{_colours_sql('reads')}, a AS (SELECT r.read_idx, coalesce(e.s, '') AS s FROM reads r LEFT JOIN e ON e.read_idx = r.read_idx) SELECT read_idx, CASE WHEN {_CP} > 0 THEN substr(s, 1, greatest({_CP} - 2, 0)) ELSE s END AS colours, {_CP} > 0 AS trimmed FROM a")
+def colour_adapter_back(r):
+    out = colours.cut_colour_adapter(_in_colours(r), ad.Adapter("x", "GATTAC", max_error_rate=0.0, min_overlap=5))
+    return out.select("read_idx", F.col("sequence").alias("colours"), F.col("adapter_name").isNotNull().alias("trimmed"))
+
+
+@query(f"v AS (SELECT read_idx, hit AS trimmed, CASE WHEN hit THEN concat(substr(sequence, 1, 1), substr(sequence, 4)) ELSE sequence END AS sequence FROM (SELECT *, substr(sequence, 1, 1) <> 'N' AND substr(sequence, 2, 2) = 'AC' AS hit FROM reads)), {_colours_sql('v')} SELECT v.read_idx, coalesce(e.s, '') AS colours, trimmed FROM v LEFT JOIN e ON e.read_idx = v.read_idx")
+def colour_adapter_prefix(r):
+    """Cutting an anchored adapter and coding the first colour anew is the same as cutting its bases and encoding."""
+    out = colours.cut_colour_adapter(_in_colours(r), ad.Adapter("x", "AC", "prefix", max_error_rate=0.0))
+    return out.select("read_idx", F.col("sequence").alias("colours"), F.col("adapter_name").isNotNull().alias("trimmed"))
+
+
 # Filters and routing
 
 
@@ -320,6 +347,12 @@ def paired_totals(r):
     return pair_reads(r).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.length("r1.sequence")).alias("read1_bp"), F.sum(F.length("r2.sequence")).alias("read2_bp"))
 
 
+@query(f"{_PAIRS}, d AS (SELECT *, CASE WHEN length(s1) < 75 OR length(s2) < 75 THEN 'too_short' ELSE 'main' END AS dest FROM pairs), t AS (SELECT dest, count(*) AS n_pairs, sum(length(s1)) AS read1_bp, sum(length(s2)) AS read2_bp FROM d GROUP BY 1) SELECT *, n_pairs::DOUBLE / sum(n_pairs) OVER () AS fraction_n_pairs, read1_bp::DOUBLE / sum(read1_bp) OVER () AS fraction_read1_bp, read2_bp::DOUBLE / sum(read2_bp) OVER () AS fraction_read2_bp FROM t")
+def paired_fractions(r):
+    out = pair_summary(TrimPlan.of(TrimOptions(minimum_length=75)).run_pairs(pair_reads(r)))
+    return out.select("dest", "n_pairs", "read1_bp", "read2_bp", "fraction_n_pairs", "fraction_read1_bp", "fraction_read2_bp")
+
+
 # Statistics
 
 
