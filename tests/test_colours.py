@@ -15,7 +15,7 @@ def test_cut(spark):
     back, front = colours_of("GATTACA"), "ACG"
     rows = [
         (1, "T", "0011" + back + "2", "I" * (5 + len(back))),
-        (2, "T", "0011" + back[:2] + "0" + back[3:] + "2", None),  # one error in six
+        (2, "T", "0011" + back[:2] + "1" + back[3:] + "2", None),  # one error in six
         (3, None, "", ""),
         (4, None, None, None),
         (5, "T", back, "I" * len(back)),
