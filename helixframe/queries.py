@@ -263,7 +263,7 @@ for _name, _affected, _test in (("pair_any", 1, "length(s1) < 75 OR length(s2) <
     query(f"{_PAIRS} SELECT read_idx FROM pairs WHERE {_test}")(_f)
 
 
-@query("q AS (SELECT *, CASE WHEN length(sequence) < 60 THEN 'too_short' WHEN length(sequence) > 99 AND read_idx % 2 = 0 THEN 'too_long' WHEN length(regexp_replace(sequence, '[^nN]', '', 'g')) > 7 THEN 'max_n' ELSE 'main' END AS dest FROM reads) SELECT dest, count(*) AS records, sum(length(sequence)) AS bp FROM q GROUP BY dest")
+@query("q AS (SELECT *, CASE WHEN length(sequence) < 60 THEN 'too_short' WHEN length(sequence) > 99 AND read_idx % 2 = 0 THEN 'too_long' WHEN length(regexp_replace(sequence, '[^nN]', '', 'g')) > 7 THEN 'max_n' ELSE 'main' END AS dest FROM reads) SELECT dest, count(*) AS records, cast(sum(length(sequence)) AS bigint) AS bp FROM q GROUP BY dest")
 def route_dest(r):
     rules = [("too_short", filters.single(filters.too_short(60))), ("too_long", filters.single(filters.too_long(99)) & (F.col("read_idx") % 2 == 0)), ("max_n", filters.single(filters.n_content(7)))]
     return qc.totals(filters.route(r, rules), "dest").select("dest", "records", "bp")
@@ -301,7 +301,7 @@ def adapter_hamming_suffix(r):
 _BEST = "CASE " + " ".join(f"WHEN strpos(sequence, '{s}') > 0 THEN '{n}'" for n, s in sorted(MOTIFS, key=lambda m: -len(m[1]))) + " ELSE 'unknown' END"
 
 
-@query(f"SELECT {_BEST} AS dest, count(*) AS records, sum(length(sequence)) AS bp FROM reads GROUP BY 1")
+@query(f"SELECT {_BEST} AS dest, count(*) AS records, cast(sum(length(sequence)) AS bigint) AS bp FROM reads GROUP BY 1")
 def demux_exact(r):
     best = ad.best_exact([ad.Adapter(n, s) for n, s in MOTIFS], F.col("sequence"))
     return qc.totals(sinks.demultiplexed(r.withColumns({"dest": F.lit("main"), "adapter_name": best})), "dest").select("dest", "records", "bp")
@@ -342,12 +342,12 @@ def overwrite_low_quality(r):
     return out.select("read_idx", F.col("r1.sequence").alias("s1"), F.col("r2.sequence").alias("s2"))
 
 
-@query(f"{_PAIRS} SELECT count(*) AS n_pairs, sum(length(s1)) AS read1_bp, sum(length(s2)) AS read2_bp FROM pairs")
+@query(f"{_PAIRS} SELECT count(*) AS n_pairs, cast(sum(length(s1)) AS bigint) AS read1_bp, cast(sum(length(s2)) AS bigint) AS read2_bp FROM pairs")
 def paired_totals(r):
     return pair_reads(r).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.length("r1.sequence")).alias("read1_bp"), F.sum(F.length("r2.sequence")).alias("read2_bp"))
 
 
-@query(f"{_PAIRS}, d AS (SELECT *, CASE WHEN length(s1) < 75 OR length(s2) < 75 THEN 'too_short' ELSE 'main' END AS dest FROM pairs), t AS (SELECT dest, count(*) AS n_pairs, sum(length(s1)) AS read1_bp, sum(length(s2)) AS read2_bp FROM d GROUP BY 1) SELECT *, n_pairs::DOUBLE / sum(n_pairs) OVER () AS fraction_n_pairs, read1_bp::DOUBLE / sum(read1_bp) OVER () AS fraction_read1_bp, read2_bp::DOUBLE / sum(read2_bp) OVER () AS fraction_read2_bp FROM t")
+@query(f"{_PAIRS}, d AS (SELECT *, CASE WHEN length(s1) < 75 OR length(s2) < 75 THEN 'too_short' ELSE 'main' END AS dest FROM pairs), t AS (SELECT dest, count(*) AS n_pairs, cast(sum(length(s1)) AS bigint) AS read1_bp, cast(sum(length(s2)) AS bigint) AS read2_bp FROM d GROUP BY 1) SELECT *, n_pairs::DOUBLE / sum(n_pairs) OVER () AS fraction_n_pairs, read1_bp::DOUBLE / sum(read1_bp) OVER () AS fraction_read1_bp, read2_bp::DOUBLE / sum(read2_bp) OVER () AS fraction_read2_bp FROM t")
 def paired_fractions(r):
     out = pair_summary(TrimPlan.of(TrimOptions(minimum_length=75)).run_pairs(pair_reads(r)))
     return out.select("dest", "n_pairs", "read1_bp", "read2_bp", "fraction_n_pairs", "fraction_read1_bp", "fraction_read2_bp")
@@ -394,7 +394,7 @@ def qc_pos_tile(r):
     return qc.position_tile_qualities(r)
 
 
-@query("SELECT sum(length(sequence)) * 1.0::DOUBLE / count(*) AS mean, median(length(sequence)) AS median FROM reads")
+@query("SELECT cast(sum(length(sequence)) AS bigint) * 1.0::DOUBLE / count(*) AS mean, median(length(sequence)) AS median FROM reads")
 def qc_length_summary(r):
     return qc.summary(qc.length_histogram(r), "read_length").select("mean", "median")
 
@@ -449,7 +449,7 @@ def read_counts(r):
 # Whole plans
 
 
-@query(_bwa("10 - q", None).replace("\nSELECT read_idx, CASE", "\n, t AS (SELECT read_idx, CASE", 1) + ") SELECT CASE WHEN length(sequence) < 20 THEN 'too_short' ELSE 'main' END AS dest, count(*) AS records, sum(length(sequence)) AS bp FROM t GROUP BY 1")
+@query(_bwa("10 - q", None).replace("\nSELECT read_idx, CASE", "\n, t AS (SELECT read_idx, CASE", 1) + ") SELECT CASE WHEN length(sequence) < 20 THEN 'too_short' ELSE 'main' END AS dest, count(*) AS records, cast(sum(length(sequence)) AS bigint) AS bp FROM t GROUP BY 1")
 def trim_quality_minlen(r):
     plan = TrimPlan.of(TrimOptions(quality_cutoff=[10], minimum_length=20))
     return summary(plan.run(r)).select("dest", "records", "bp")
