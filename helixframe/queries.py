@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
@@ -32,12 +32,15 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function of reads as a query; sql is what follows the common table expressions."""
+def query(sql: str | None = None, source: Callable[[SparkSession, str], DataFrame] | None = None):
+    """Register a function of reads as a query; sql is what follows the common table expressions.
+
+    Without SQL, and so without its cut, a query works on whole texts: on all pieces of them, or on another source."""
+    made = source or (reads if sql is not None else pieces)
 
     def register(f):
         name = f.__name__
-        Q[name] = lambda spark, sf_dir, f=f: f(reads(spark, sf_dir))
+        Q[name] = lambda spark, sf_dir, f=f: f(made(spark, sf_dir))
         if sql is not None:
             text = sql.strip()
             SQL[name] = f"WITH {_READS}{',' if text[:5].upper() != 'SELEC' else ''}\n{text}"
@@ -55,14 +58,43 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("R:1:FC:1:"), (F.lit(1101) + F.col("doc_id") % 4).cast("string"), F.lit(":"), ident).alias("name"),
         F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTANGTACGTACGTAC").alias("sequence"),
     )
+    return base.withColumn("qualities", F.substring(_qualities(), F.lit(1), F.length("sequence")))
+
+
+def _qualities() -> Column:
+    """128 qualities of a read by its name and sequence."""
     md = lambda *c: F.md5(F.concat(*c).cast("binary"))
-    q = F.translate(F.concat(md("sequence"), md("name"), md("name", "sequence"), md("sequence", "name")), "0123456789abcdef", "#$&+/38<@BCDEFGH")
-    return base.withColumn("qualities", F.substring(q, F.lit(1), F.length("sequence")))
+    return F.translate(F.concat(md("sequence"), md("name"), md("name", "sequence"), md("sequence", "name")), "0123456789abcdef", "#$&+/38<@BCDEFGH")
+
+
+def pieces(spark: SparkSession, sf_dir: str, size: Column | int = 100) -> DataFrame:
+    """Reads that hold all letters of each text: its consecutive pieces of a size, the last one shorter. A text without
+    letters is one empty read. read_idx is doc_id * 2^25 + the piece's number, for which no string is too long."""
+    size = F.lit(size) if isinstance(size, int) else size
+    letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTANGTACGTACGTAC")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", letters.alias("letters"), size.cast("int").alias("size"))
+    cut = F.regexp_extract_all("letters", F.concat(F.lit(".{1,"), F.col("size").cast("string"), F.lit("}")), F.lit(0))
+    cut = docs.select("doc_id", F.posexplode(F.when(F.col("letters") == "", F.array(F.lit(""))).otherwise(cut)).alias("piece", "sequence"))
+    ident, tile = F.col("doc_id").cast("string"), (F.lit(1101) + F.col("doc_id") % 4).cast("string")
+    base = cut.select(
+        (F.shiftleft(F.col("doc_id").cast("bigint"), 25) + F.col("piece")).alias("read_idx"),
+        F.concat(F.lit("R:1:FC:1:"), tile, F.lit(":"), ident, F.lit(":"), F.col("piece").cast("string")).alias("name"),
+        "sequence",
+    )
+    return base.withColumn("qualities", F.substring(_qualities(), F.lit(1), F.length("sequence")))
+
 
+def pair_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose inserts are all pieces of 40 to 79 bases of each text."""
+    return pair_reads(pieces(spark, sf_dir, F.lit(40) + F.pmod("doc_id", F.lit(40))), whole=True)
 
-def pair_reads(r: DataFrame) -> DataFrame:
-    """Pairs whose inserts are 40 to 79 bases of a read; both mates run into an adapter and are 80 bases long at most."""
-    ins = F.substring("sequence", F.lit(1), (F.lit(40) + F.col("read_idx") % 40).cast("int"))
+
+def pair_reads(r: DataFrame, whole: bool = False) -> DataFrame:
+    """Pairs whose inserts are 40 to 79 bases of a read, or whole reads; both mates run into an adapter and are 80 bases
+    long at most."""
+    ins = F.col("sequence") if whole else F.substring("sequence", F.lit(1), (F.lit(40) + F.col("read_idx") % 40).cast("int"))
+    if whole:  # a last piece is shorter than half a mate
+        r = r.withColumn("qualities", F.substring(_qualities(), 1, 80))
     with_ends = r.withColumns({"s1": F.substring(F.concat(ins, F.lit(ADAPTER1)), 1, 80), "s2": F.substring(F.concat(dna.reverse_complement(ins), F.lit(ADAPTER2)), 1, 80)})
     with_ends = with_ends.withColumns({"q1": F.substring(F.concat("qualities", "qualities"), F.lit(1), F.length("s1")), "q2": F.substring(F.reverse(F.concat("qualities", "qualities")), F.lit(1), F.length("s2"))})
     return with_ends.select("read_idx", pairs.read_struct(F.concat("name", F.lit("/1")), F.col("s1"), F.col("q1")).alias("r1"), pairs.read_struct(F.concat("name", F.lit("/2")), F.col("s2"), F.col("q2")).alias("r2"))
@@ -481,32 +513,32 @@ def _shown_match(r: DataFrame) -> DataFrame:
 
 def _insert(**how):
     def f(r):
-        out = pairs.cut_insert_adapters(pair_reads(r), ad.Adapter("a1", ADAPTER1, adapter_wildcards=False), ad.Adapter("a2", ADAPTER2, adapter_wildcards=False), **how)
+        out = pairs.cut_insert_adapters(r, ad.Adapter("a1", ADAPTER1, adapter_wildcards=False), ad.Adapter("a2", ADAPTER2, adapter_wildcards=False), **how)
         return out.select("read_idx", F.length("r1.sequence").alias("n1"), F.length("r2.sequence").alias("n2"), F.col("r1.insert_overlap").alias("overlap"))
 
     return f
 
 
-@query()
+@query(source=pair_pieces)
 def insert_adapters(r):
     return _insert()(r)
 
 
-@query()
+@query(source=pair_pieces)
 def correct_mismatches(r):
     return _insert(correct="liberal")(r)
 
 
-@query()
+@query(source=pair_pieces)
 def merge_overlap(r):
-    out = pairs.merge_overlapping(pairs.cut_insert_adapters(pair_reads(r), ad.Adapter("a1", ADAPTER1), ad.Adapter("a2", ADAPTER2)))
+    out = pairs.merge_overlapping(pairs.cut_insert_adapters(r, ad.Adapter("a1", ADAPTER1), ad.Adapter("a2", ADAPTER2)))
     return out.select("read_idx", F.col("r1.sequence").alias("sequence"), F.col("r1.merged").alias("merged"))
 
 
-@query()
+@query(source=pair_pieces)
 def trim_paired(r):
     o = TrimOptions(adapters=[("back", ADAPTER1)], adapters2=[("back", ADAPTER2)], aligner="insert", quality_cutoff=[10], minimum_length=25, op_order="GACQW")
-    return TrimPlan.of(o).run_pairs(pair_reads(r)).groupBy("dest").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.length("r1.sequence")).alias("read1_bp"), F.sum(F.length("r2.sequence")).alias("read2_bp"))
+    return TrimPlan.of(o).run_pairs(r).groupBy("dest").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.length("r1.sequence")).alias("read1_bp"), F.sum(F.length("r2.sequence")).alias("read2_bp"))
 
 
 @query()
