@@ -73,20 +73,21 @@ def frequent_kmers(reads: DataFrame, k: int = 12, over: float = 0.001, longest:
     """Maximal frequent k-mers with counts, longest first.
 
     k grows from the start size as long as k-mers are more frequent than chance: of length k + 1 only those are counted
-    whose both k-mers were frequent (a join on hashes, not a list in a task). Each round returns only what is frequent,
-    some hundreds of rows by the threshold, which is a share of the reads.
+    whose first k-mer was frequent, by a semi-join with the table of the round before. All that is frequent is returned:
+    a read counts once for each of its k-mers, so a round has at most (bases a read) / over rows, however many the reads.
     """
     own = reads.select("sequence").distinct().cache()
-    n, length = own.count(), (reads.orderBy("read_idx").select(F.length("sequence")).first() or [0])[0]
+    n, length = own.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("sequence")), F.lit(0))).first()
     found: dict[str, int] = {}
-    layer: list[tuple[str, int]] = []
+    layer: dict[str, int] = {}
     while n and k <= (longest or length):
         least = ceil(n * max(over, (length - k + 1) * 100 / 4**k))
         counts = own.select(F.explode(F.array_distinct(kmers(F.col("sequence"), k))).alias("kmer"))
         if layer:
-            known = own.sparkSession.createDataFrame([(x,) for x, _ in layer], "p string")
+            known = own.sparkSession.createDataFrame([(x,) for x in layer], "p string")
+            known = F.broadcast(known) if len(layer) <= BROADCAST_KMERS else known
             counts = counts.withColumn("p", F.substring("kmer", 1, k - 1)).join(known, "p", "left_semi")
-        layer = [(r[0], r[1]) for r in counts.groupBy("kmer").count().where(F.col("count") > least).orderBy(F.desc("count"), "kmer").limit(10_000).collect()]
+        layer = dict(map(tuple, counts.groupBy("kmer").count().where(F.col("count") > least).collect()))
         if not layer:
             break
         found.update(layer)
@@ -110,23 +111,25 @@ def merge_substrings(found: list[tuple[str, int]], keep: float = 0.5) -> list[Co
     """Drop what a better sequence contains; keep those with a share of the best score at least."""
     out: list[Contaminant] = []
     for c in sorted((Contaminant(s, n) for s, n in found), key=lambda c: (-c.score, c.sequence)):
+        if out and c.score < keep * out[0].score:
+            break
         if not any(c.sequence in x.sequence or x.sequence in c.sequence for x in out):
             out.append(c)
-    return [c for c in out if c.score >= keep * out[0].score]
+    return out
 
 
-def detect(reads: DataFrame, contaminants: list[tuple[str, str]] = (), *, k: int = 12, max_reads: int = MAX_READS, include: str = "all", min_frequency: float = 0.001, min_kmer_match: float = 0.5, top: int = TOP) -> list[Contaminant]:
-    """The most likely contaminants of the first max_reads reads, best first, with the known sequences they belong to."""
-    some = reads.where(F.col("read_idx") <= max_reads)
+def detect(reads: DataFrame, contaminants: list[tuple[str, str]] = (), *, k: int = 12, max_reads: int | None = MAX_READS, include: str = "all", min_frequency: float = 0.001, min_kmer_match: float = 0.5, top: int = TOP) -> list[Contaminant]:
+    """The most likely contaminants of the first max_reads reads (None: of all, by the heuristic unless only known ones are
+    asked for), best first, with the known sequences they belong to."""
+    some = reads if max_reads is None else reads.where(F.col("read_idx") <= max_reads)
     own = prefiltered(some.select("read_idx", "sequence"), k)
-    kind = detector_for(include, max_reads)
+    kind = detector_for(include, max_reads or 0)
     if kind == "known":
         seqs = dict(contaminants)
         rows = known_fractions(own, list(contaminants), k, min_kmer_match).collect()
         found = [Contaminant(seqs[r["name"]], r["reads"], (r["name"],)) for r in rows]
     else:
-        numbered = some.select("read_idx", "sequence").join(own, "sequence", "left_semi")
-        found = merge_substrings(frequent_kmers(numbered, k, min_frequency))
+        found = merge_substrings(frequent_kmers(own, k, min_frequency))
         named = []
         for c in found:
             back = c.sequence.translate(str.maketrans(dna.IUPAC, dna.COMPLEMENT))[::-1]

@@ -543,7 +543,7 @@ def trim_paired(r):
 
 @query()
 def detect_heuristic(r):
-    found = detect.detect(r.withColumn("read_idx", F.col("read_idx") + 1), list(_KNOWN))
+    found = detect.detect(r, list(_KNOWN), max_reads=None)
     return r.sparkSession.createDataFrame([(c.sequence, c.count, ",".join(c.known)) for c in found], "sequence string, n bigint, known string")
 
 
