@@ -20,23 +20,20 @@ def usable_read_counts(reads: DataFrame) -> DataFrame:
     return reads.where(~F.col("sequence").rlike("N|^(.)\\1*$") & (F.length("sequence") > 0)).groupBy("sequence").agg(F.count(F.lit(1)).alias("n"))
 
 
-def shadow_error_rate(reads: DataFrame, top: int = 1000) -> DataFrame:
-    """Error rate per base from a line through the origin: shadows (reads one mismatch away) on counts of frequent reads.
+def shadow_error_rate(reads: DataFrame) -> DataFrame:
+    """Error rate per base from a line through the origin: shadows (reads one mismatch away) on counts, over all usable reads.
 
-    The top most frequent reads are a bounded table. A shadow is found by an equi-join on the read with one base masked,
-    so no pair but neighbours is ever made. bases, slope, error_rate.
+    Reads that differ in one base share one key, the read with that base masked. With sum s and sum of squares q of the
+    counts under a key, the products of a read's count and its shadows add up to s * s - q over all keys, so no pair is
+    ever made. bases, slope, error_rate.
     """
     counts = usable_read_counts(reads)
-    frequent = counts.orderBy(F.desc("n"), "sequence").limit(top)
-
-    def masked(df: DataFrame, *keep) -> DataFrame:
-        i = F.explode(F.sequence(F.lit(1), F.length("sequence"))).alias("i")
-        return df.select("sequence", "n", i).select(
-            F.col("sequence").alias(f"{keep[0]}s"), F.col("n").alias(f"{keep[0]}n"), "i", F.xxhash64(F.length("sequence"), "i", F.expr("concat(substr(sequence, 1, i - 1), '*', substr(sequence, i + 1))")).alias("key")
-        )
-
-    hits = masked(frequent, "f").join(masked(counts, "s").drop("i"), "key").where("fs <> ss")
-    shadows = hits.groupBy("fs", "fn").agg(F.sum("sn").alias("shadows"))
-    rows = frequent.select(F.col("sequence").alias("fs"), F.col("n").alias("fn")).join(shadows, ["fs", "fn"], "left").fillna(0, ["shadows"])
-    slope = F.sum(F.col("fn") * F.col("shadows")) / F.sum(F.col("fn") * F.col("fn"))
-    return rows.agg(F.sum(F.length("fs")).alias("bases"), slope.alias("slope"), (F.lit(1.0) - F.pow(F.lit(1.0) / (F.lit(1.0) + slope), F.lit(1.0) / F.avg(F.length("fs")))).alias("error_rate"))
+    n = F.col("n").cast("double")
+    whole = counts.agg(F.sum(F.length("sequence")).alias("bases"), F.avg(F.length("sequence")).alias("length"), F.sum(n * n).alias("squares"))
+    at = counts.select("sequence", n.alias("n"), F.explode(F.sequence(F.lit(1), F.length("sequence"))).alias("i"))
+    key = F.xxhash64(F.length("sequence"), "i", F.expr("concat(substr(sequence, 1, i - 1), '*', substr(sequence, i + 1))"))
+    by = at.select(key.alias("key"), "n").groupBy("key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    pairs = by.agg(F.coalesce(F.sum(F.col("s") * F.col("s") - F.col("q")), F.lit(0.0)).alias("products"))
+    slope = F.col("products") / F.col("squares")
+    rate = F.lit(1.0) - F.pow(F.lit(1.0) / (F.lit(1.0) + slope), F.lit(1.0) / F.col("length"))
+    return whole.crossJoin(pairs).select("bases", slope.alias("slope"), rate.alias("error_rate"))
