@@ -1,6 +1,6 @@
 """License scans with DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-Every line and every paragraph of a whole text is a unit; its terms weigh by tf * idf over the templates (stop words left out), terms that no
+Every line, every paragraph and every sentence of these is a unit; its terms weigh by tf * idf over the templates (stop words left out), terms that no
 template has by the largest idf. A unit's licence is the template with the largest cosine, from a least cosine on. Units
 without any anchor term can't reach that cosine with any template (see anchors()), so they are never exploded.
 
@@ -25,6 +25,9 @@ from helixframe.llm.common import stored
 #: Least cosine of a unit to a template.
 LEAST = 0.6
 
+#: Identifiers that a one-line tag names.
+_SPDX = tuple("Apache-2.0 MIT GPL-3.0 GPL-2.0 LGPL-3.0 LGPL-2.1 AGPL-3.0 BSD-3-Clause BSD-2-Clause ISC MPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 Unlicense".split())
+
 #: Common notices by licence identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -47,6 +50,8 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."),
+    ("Proprietary", "All rights reserved."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in _SPDX),
 )
 
 #: Names of licence files.
@@ -111,7 +116,11 @@ def own_licenses(files: DataFrame, text_col: str = "text", templates=TEMPLATES,
     some = files.select("key", text.alias("t")).where(F.col("t").rlike(has))
     lines = F.split("t", r"\R")
     paragraphs = F.split("t", r"\R\s*\R")
-    units = F.array_distinct(F.filter(F.concat(lines, paragraphs), lambda u: u.rlike(has)))
+    terms_of = lambda u: F.array_except(F.regexp_extract_all(u, F.lit(_TERM), F.lit(0)), F.array(*map(F.lit, STOP)))
+    # A sentence of one term is no notice: German has "mit".
+    held = F.filter(F.concat(lines, paragraphs), lambda u: u.rlike(has))
+    sentences = F.filter(F.flatten(F.transform(held, lambda u: F.split(u, r"(?<=[.!?;])\s+"))), lambda u: u.rlike(has) & (F.size(terms_of(u)) > 1))
+    units = F.array_distinct(F.concat(held, sentences))
     units = some.select("key", F.posexplode(units).alias("u", "unit"))
     terms = units.select("key", "u", F.explode(F.regexp_extract_all("unit", F.lit(_TERM), F.lit(0))).alias("term"))
     terms = terms.where(~F.col("term").isin(*STOP))
