@@ -6,7 +6,8 @@ consistent: a value of the item stands for one and the same value wherever it re
 a document if the consistent alignments cover enough of its windows.
 
 Null and empty texts have no windows and match nothing. A short item, below a window's length, is one window of its own
-length. Items with equal texts all match. Repeated documents match each for itself. Extra columns are not read.
+length. An item without a window of enough literals is one window as a whole; if it holds too few literals even so, that
+window matches only tokens that are all equal. Items with equal texts all match. Repeated documents match each for itself. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -65,10 +66,10 @@ def _hashed(h: Column, size: int) -> Column:
     return F.zip_with(_hashed(h, k), F.slice(_hashed(h, size - k), k + 1, F.size(h)), pair)
 
 
-def _windows(size: int) -> Column:
-    """Hashes of all template windows of a size over toks, by position; none if it is shorter."""
+def _windows(size: int, exact: bool = False) -> Column:
+    """Hashes of all windows of a size over toks, of the template or of the tokens, by position; none if it is shorter."""
     n = F.size("toks") - size + 1
-    hashes = F.transform("toks", lambda t: F.xxhash64(canonical(t)))
+    hashes = F.transform("toks", lambda t: F.xxhash64(t if exact else canonical(t)))
     return F.when(n > 0, F.slice(_let(hashes, lambda h: _hashed(h, size)), 1, F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -78,7 +79,9 @@ def _slots(at: Column, size: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """h, item_id, ipos, size, item_windows, item_slots: windows with enough literal tokens."""
+    """h, item_id, ipos, size, exact, item_windows, item_slots: windows with enough literal tokens, else whole items.
+
+    exact: h is of the tokens themselves, not of the template."""
     items = _templated(benchmark, id_col, text_col, "item_id").where(F.size("toks") > 0)
     items = items.withColumn("size", F.least(F.size("toks"), F.lit(window)))
     rows = None
@@ -89,9 +92,15 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
         rows = items.select("item_id", "toks", "size", F.lit(0).alias("p"), F.lit(0).cast("bigint").alias("h"), F.lit(1).alias("ipos"))
     rows = rows.withColumn("item_slots", _slots(F.col("ipos"), F.col("size")))
     spoken = F.size(F.filter("item_slots", lambda v: v.isNull()))
-    rows = rows.where(spoken >= F.least(F.lit(literals), F.col("size")))
+    rows = rows.where(spoken >= F.least(F.lit(literals), F.col("size"))).select("h", "item_id", "ipos", "size", F.lit(False).alias("exact"), "item_slots")
+    poor = items.join(rows.select("item_id").distinct(), "item_id", "left_anti").select("item_id", "toks", F.size("toks").alias("size"))
+    poor = poor.withColumn("exact", F.size(F.filter("toks", lambda t: ~canonical(t).startswith("<"))) < literals)
+    for size, exact in sorted(map(tuple, poor.select("size", "exact").distinct().collect())):
+        part = poor.where((F.col("size") == size) & (F.col("exact") == exact))
+        h = F.get(_windows(size, exact), F.lit(0)).alias("h")
+        rows = rows.unionByName(part.select(h, "item_id", F.lit(1).alias("ipos"), "size", "exact", _slots(F.lit(1), F.col("size")).alias("item_slots")))
     total = rows.groupBy("item_id").agg(F.countDistinct("ipos").cast("int").alias("item_windows"))
-    return rows.select("h", "item_id", "ipos", "size", "item_slots").join(total, "item_id").distinct()
+    return rows.join(total, "item_id").distinct()
 
 
 def matches(
@@ -109,17 +118,18 @@ def matches(
     """
     bench = benchmark_windows(benchmark, "item_id", "text", window, literals)
     sizes, n = [], 0
-    for size, count in bench.groupBy("size").count().orderBy("size").limit(window).collect():
-        sizes.append(size)
+    # One pass for each size: window at most, and the lengths of whole items.
+    for size, exact, count in bench.groupBy("size", "exact").count().orderBy("size", "exact").collect():
+        sizes.append((size, exact))
         n += count
     if n <= BROADCAST_ROWS:
         bench = F.broadcast(bench)
     texts = _templated(docs, id_col, text_col, "id")
     out = None
-    for size in sizes or [window]:
+    for size, exact in sizes or [(window, False)]:
         # Filters on the exploded hash run inside the scan's stage: only windows that hit leave it.
-        part = texts.select("id", "toks", F.posexplode(_windows(size)).alias("p", "h")).withColumn("at", F.col("p") + 1)
-        hit = part.join(bench.where(F.col("size") == size), "h").select(
+        part = texts.select("id", "toks", F.posexplode(_windows(size, exact)).alias("p", "h")).withColumn("at", F.col("p") + 1)
+        hit = part.join(bench.where((F.col("size") == size) & (F.col("exact") == exact)), "h").select(
             "id", "item_id", "ipos", "item_windows", (F.col("at") - F.col("ipos")).alias("shift"), "item_slots", _slots(F.col("at"), F.lit(size)).alias("doc_slots")
         )
         out = hit if out is None else out.unionByName(hit)
