@@ -91,13 +91,14 @@ def words_of(text: str | None) -> set[str]:
 
 
 def counterfactuals(words: set[str], identity: Sequence[Sequence[str]] = IDENTITY) -> list[set[str]]:
-    """The set of words with the identity terms of a group swapped for each other: one set for each swap."""
+    """The set of words with the identity terms of a group swapped for each other: one set for each swap, as many as
+    the sizes of the groups named add up to, less one each."""
     out = []
     for group in identity:
         named = [t for t in group if t in words]
         for turn in range(1, len(group)) if named else ():
             out.append((words - set(named)) | {group[(group.index(t) + turn) % len(group)] for t in named})
-    return out[:8]
+    return out
 
 
 @dataclass
@@ -157,8 +158,9 @@ def _sparse(rows: list[np.ndarray], kept: np.ndarray) -> tuple[np.ndarray, np.nd
     return (np.concatenate(at), np.concatenate(col)) if at else (np.zeros(0, int), np.zeros(0, int))
 
 
-def train(rows: list[np.ndarray], labels: Sequence[int], pairs: Sequence[tuple[np.ndarray, np.ndarray]] = (), cf_weight: float = CF_WEIGHT) -> Model:
-    """rows: features of each text; pairs: features of a text and of its counterfactual."""
+def train(rows: list[np.ndarray], labels: Sequence[int], pairs: Sequence[tuple[np.ndarray, np.ndarray]] = (), cf_weight: float = CF_WEIGHT, shares: Sequence[float] | None = None) -> Model:
+    """rows: features of each text; pairs: features of a text and of its counterfactual; shares: weights of the pairs, 1
+    each if None."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return Model(bias=-20.0 if not len(y) or y.max() == 0 else 20.0)
@@ -166,6 +168,7 @@ def train(rows: list[np.ndarray], labels: Sequence[int], pairs: Sequence[tuple[n
     at, col = _sparse(rows, kept)
     one, two = _sparse([p[0] for p in pairs], kept), _sparse([p[1] for p in pairs], kept)
     n, k, np_ = len(y), len(kept), max(1, len(pairs))
+    share = np.ones(np_) if shares is None or not len(pairs) else np.asarray(shares, float)
     w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5  # halfway to balanced classes
     m, v = np.zeros(k + 1), np.zeros(k + 1)
@@ -174,8 +177,8 @@ def train(rows: list[np.ndarray], labels: Sequence[int], pairs: Sequence[tuple[n
         g = weight * (1 / (1 + np.exp(-z)) - y) / n
         grad = np.bincount(col, g[at], k) + 2 * L2 * w
         if len(pairs):
-            d = np.bincount(one[0], w[one[1]], np_) - np.bincount(two[0], w[two[1]], np_)
-            grad += cf_weight * 2 / np_ * (np.bincount(one[1], d[one[0]], k) - np.bincount(two[1], d[two[0]], k))
+            d = share * (np.bincount(one[0], w[one[1]], np_) - np.bincount(two[0], w[two[1]], np_))
+            grad += cf_weight * 2 / share.sum() * (np.bincount(one[1], d[one[0]], k) - np.bincount(two[1], d[two[0]], k))
         full = np.append(grad, g.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full * full
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -213,7 +216,8 @@ def fit(labelled: DataFrame, identity=IDENTITY, per_class: int = TRAIN_PER_CLASS
     read = lambda b: np.frombuffer(bytes(b), np.int32)
     texts = [read(b) for b in got["features"]]
     pairs = [(t, read(s)) for t, swapped in zip(texts, got["swapped"]) for s in swapped]
-    return train(texts, got["label"].tolist(), pairs, cf_weight)
+    shares = [1 / len(swapped) for swapped in got["swapped"] for _ in swapped]  # each text counts once
+    return train(texts, got["label"].tolist(), pairs, cf_weight, shares)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
