@@ -75,56 +75,78 @@ def error_sum(quals: Column, base: int = 33) -> Column:
     return F.aggregate(quality_values(quals, base), F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), -x / F.lit(10.0)))
 
 
-def _scan(steps: Column) -> Column:
-    """How many elements to cut: the running sum's first largest value above 0, before the sum first falls below 0."""
+def bounds(start: Column, stop: Column) -> Column:
+    """struct(start, stop) of what stays, each computed once; both 0 where nothing does."""
+    none = lambda a, b: F.coalesce(a >= b, F.lit(False))
+    pair = lambda a, b: F.struct(F.when(none(a, b), F.lit(0)).otherwise(a).alias("start"), F.when(none(a, b), F.lit(0)).otherwise(b).alias("stop"))
+    return let(start, lambda a: let(stop, lambda b: pair(a, b)))
+
+
+#: Elements that a trim looks at before it folds over a whole read.
+_HEAD = 16
+
+
+def _fold(steps: Column) -> Column:
+    """struct(cut, done): how many elements to cut, the running sum's first largest value above 0 before the sum first falls
+    below 0, and whether it did."""
     state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(0).alias("top"), F.lit(0).alias("cut"), F.lit(False).alias("done"))
 
     def step(a: Column, x: Column) -> Column:
         s = a["s"] + x
-        done = a["done"] | (s < 0)
-        better = ~done & (s > a["top"])
         i = a["i"] + 1
-        return F.struct(i.alias("i"), s.alias("s"), F.when(better, s).otherwise(a["top"]).alias("top"), F.when(better, i).otherwise(a["cut"]).alias("cut"), done.alias("done"))
+        better = s > a["top"]
+        moved = F.struct(i.alias("i"), s.alias("s"), F.when(better, s).otherwise(a["top"]).alias("top"), F.when(better, i).otherwise(a["cut"]).alias("cut"), (s < 0).alias("done"))
+        return F.when(a["done"], a).otherwise(moved)
+
+    return F.aggregate(steps, state, step, lambda a: F.struct(a["cut"].alias("cut"), a["done"].alias("done")))
+
 
-    return F.aggregate(steps, state, step, lambda a: a["cut"])
+def _cut_length(steps, n: Column) -> Column:
+    """Elements to cut, steps(k) being those of the first k elements, or of all for None. Most scans end within the first
+    elements; only where one doesn't the whole read is folded."""
+    return let(_fold(steps(_HEAD)), lambda a: F.when(a["done"] | (n <= _HEAD), a["cut"]).otherwise(_fold(steps(None))["cut"]))
 
 
-def quality_trim(quals: Column, front: int = 0, back: int = 10, base: int = 33) -> tuple[Column, Column]:
-    """(start, stop) of what stays. Both scans see the whole read; start >= stop leaves nothing."""
-    q = quality_values(quals, base)
-    start = _scan(F.transform(q, lambda x: F.lit(front) - x))
-    stop = F.length(quals) - _scan(F.transform(F.reverse(q), lambda x: F.lit(back) - x))
-    return F.when(start >= stop, F.lit(0)).otherwise(start), F.when(start >= stop, F.lit(0)).otherwise(stop)
+def _ends(text: Column, back: bool):
+    """The first k characters from an end as an array, or all."""
+    chars = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
+    if back:
+        return lambda k: chars(F.reverse(text if k is None else F.substring(text, F.greatest(F.length(text) - k + 1, F.lit(1)), F.lit(k))))
+    return lambda k: chars(text if k is None else F.substring(text, 1, k))
 
 
-def nextseq_trim(seq: Column, quals: Column, cutoff: int = 20, base: int = 33) -> tuple[Column, Column]:
+def quality_trim(quals: Column, front: int = 0, back: int = 10, base: int = 33) -> Column:
+    """struct(start, stop) of what stays. Both scans see the whole read; start >= stop leaves nothing. Null without qualities."""
+    n = F.length(quals)
+    scan = lambda cutoff, end: _cut_length(lambda k: F.transform(_ends(quals, end)(k), lambda c: F.lit(cutoff + base) - F.ascii(c)), n)
+    # No quality is below 0, so a cutoff of 0 cuts nothing.
+    return bounds(scan(front, False) if front > 0 else F.lit(0), n - scan(back, True) if back > 0 else n)
+
+
+def nextseq_trim(seq: Column, quals: Column, cutoff: int = 20, base: int = 33) -> Column:
     """As quality_trim at the 3' end, where G counts as one below the cutoff."""
-    steps = F.zip_with(F.filter(F.split(seq, ""), lambda c: c != ""), quality_values(quals, base), lambda c, x: F.when(c == "G", F.lit(1)).otherwise(F.lit(cutoff) - x))
-    return F.lit(0), F.length(quals) - _scan(F.reverse(steps))
+    step = lambda c, x: F.when(c == "G", F.lit(1)).otherwise(F.lit(cutoff + base) - F.ascii(x))
+    n = F.length(quals)
+    return bounds(F.lit(0), n - _cut_length(lambda k: F.zip_with(_ends(seq, True)(k), _ends(quals, True)(k), step), n))
 
 
-def n_end_trim(seq: Column) -> tuple[Column, Column]:
+def n_end_trim(seq: Column) -> Column:
     """Without the runs of N at both ends."""
-    start = F.length(seq) - F.length(F.regexp_replace(seq, "^N+", ""))
-    stop = F.length(F.regexp_replace(seq, "N+$", ""))
-    return F.when(start >= stop, F.lit(0)).otherwise(start), F.when(start >= stop, F.lit(0)).otherwise(stop)
+    return bounds(F.length(seq) - F.length(F.ltrim(seq, F.lit("N"))), F.length(F.rtrim(seq, F.lit("N"))))
 
 
-def cut(seq: Column, lengths: list[int]) -> tuple[Column, Column]:
+def cut(seq: Column, lengths: list[int]) -> Column:
     """Unconditional cuts: positive lengths from the front, negative ones from the back."""
     front, back = sum(x for x in lengths if x > 0), -sum(x for x in lengths if x < 0)
     n = F.length(seq)
-    start, stop = F.least(F.lit(front), n), F.greatest(n - back, F.lit(0))
-    return F.when(start >= stop, F.lit(0)).otherwise(start), F.when(start >= stop, F.lit(0)).otherwise(stop)
+    return bounds(F.least(F.lit(front), n), F.greatest(n - back, F.lit(0)))
 
 
 def min_cut(seq: Column, lengths: list[int], done_front: Column, done_back: Column) -> tuple[Column, Column]:
-    """Cuts only what is still missing from the wanted lengths."""
+    """(start, stop) after cuts of only what is still missing from the wanted lengths."""
     front, back = sum(x for x in lengths if x > 0), -sum(x for x in lengths if x < 0)
     n = F.length(seq)
-    start = F.least(F.greatest(F.lit(front) - done_front, F.lit(0)), n)
-    stop = F.greatest(n - F.greatest(F.lit(back) - done_back, F.lit(0)), F.lit(0))
-    return F.when(start >= stop, F.lit(0)).otherwise(start), F.when(start >= stop, F.lit(0)).otherwise(stop)
+    return F.least(F.greatest(F.lit(front) - done_front, F.lit(0)), n), F.greatest(n - F.greatest(F.lit(back) - done_back, F.lit(0)), F.lit(0))
 
 
 def length_tag(name: Column, seq: Column, tag: str) -> Column:
@@ -177,9 +199,3 @@ def names_match(a: Column, b: Column) -> Column:
     bare = lambda x: F.regexp_replace(x, "[12]$", "")
     return F.when(p.rlike("[12]$") & q.rlike("[12]$"), bare(p) == bare(q)).otherwise(p == q)
 
-
-def hamming_prefix(seq: Column, adapter: str) -> Column:
-    """Mismatches of the adapter against the read's beginning, over the shorter length."""
-    chars = F.filter(F.split(F.substring(seq, 1, len(adapter)), ""), lambda c: c != "")
-    want = F.slice(F.array(*[F.lit(c) for c in adapter]), F.lit(1), F.size(chars))
-    return F.aggregate(F.zip_with(chars, want, lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, x: a + x)

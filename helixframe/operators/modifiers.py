@@ -30,33 +30,36 @@ def prepared(reads: DataFrame) -> DataFrame:
     return reads
 
 
-def clip(reads: DataFrame, start: Column, stop: Column) -> DataFrame:
-    """Keep [start, stop) of sequence and qualities; what goes adds to clipped, before or after a match."""
+def clip(reads: DataFrame, keep: Column) -> DataFrame:
+    """Keep [start, stop) of sequence and qualities; what goes adds to clipped, before or after a match. keep: a struct
+    (see dna.bounds()); null keeps all."""
     n = F.length("sequence")
-    bounded = reads.withColumns({"_a": start, "_b": stop})
-    gone = [F.col("_a"), n - F.col("_b")]
+    bounded = reads.withColumn("_keep_", F.coalesce(keep, F.struct(F.lit(0).alias("start"), n.alias("stop"))))
+    a, b = F.col("_keep_.start"), F.col("_keep_.stop")
     # An empty rest counts as cut from the back.
-    gone = [F.when(F.col("_b") <= F.col("_a"), F.lit(0)).otherwise(gone[0]), F.when(F.col("_b") <= F.col("_a"), n).otherwise(gone[1])]
+    gone = [F.when(b <= a, F.lit(0)).otherwise(a), F.when(b <= a, n).otherwise(n - b)]
     after = F.col("adapter_name").isNotNull()
     clipped = F.array(*[F.col("clipped")[i] + F.when(after == (i >= 2), gone[i % 2]).otherwise(F.lit(0)) for i in range(4)])
-    out = bounded.withColumns({"clipped": clipped, "sequence": dna.slice_(F.col("sequence"), F.col("_a"), F.col("_b")), "qualities": dna.slice_(F.col("qualities"), F.col("_a"), F.col("_b"))})
-    return out.drop("_a", "_b")
+    out = bounded.withColumns({"clipped": clipped, "sequence": dna.slice_(F.col("sequence"), a, b), "qualities": dna.slice_(F.col("qualities"), a, b)})
+    return out.drop("_keep_")
 
 
 def cutter(lengths: Sequence[int]) -> Modifier:
-    return lambda r: clip(r, *dna.cut(F.col("sequence"), list(lengths)))
+    return lambda r: clip(r, dna.cut(F.col("sequence"), list(lengths)))
 
 
 def quality_trimmer(front: int = 0, back: int = 10, base: int = 33) -> Modifier:
-    return lambda r: clip(r, *dna.quality_trim(F.col("qualities"), front, back, base))
+    """Reads without qualities pass."""
+    return lambda r: clip(r, F.when(F.col("qualities").isNotNull(), dna.quality_trim(F.col("qualities"), front, back, base)))
 
 
 def nextseq_trimmer(cutoff: int, base: int = 33) -> Modifier:
-    return lambda r: clip(r, *dna.nextseq_trim(F.col("sequence"), F.col("qualities"), cutoff, base))
+    """Reads without qualities pass."""
+    return lambda r: clip(r, F.when(F.col("qualities").isNotNull(), dna.nextseq_trim(F.col("sequence"), F.col("qualities"), cutoff, base)))
 
 
 def n_end_trimmer() -> Modifier:
-    return lambda r: clip(r, *dna.n_end_trim(F.col("sequence")))
+    return lambda r: clip(r, dna.n_end_trim(F.col("sequence")))
 
 
 def min_cutter(lengths: Sequence[int], count_trimmed: bool = True, only_trimmed: bool = False) -> Modifier:
@@ -75,7 +78,7 @@ def min_cutter(lengths: Sequence[int], count_trimmed: bool = True, only_trimmed:
             n = F.length("sequence")
             start = F.when(matched & F.exists(m, lambda x: x["front"]), start).otherwise(F.lit(0))
             stop = F.when(matched & F.exists(m, lambda x: ~x["front"]), stop).otherwise(n)
-        return clip(reads, start, stop)
+        return clip(reads, dna.bounds(start, stop))
 
     return apply
 
@@ -96,7 +99,7 @@ def non_directional_bisulfite_trimmer(trim_5p: int = 2, trim_3p: int = 2, rrbs:
             back = F.col("adapter_name").isNotNull() & F.exists("matches", lambda x: ~x["front"])
             missing = F.greatest(F.lit(trim_3p) - F.col("clipped")[3], F.lit(0))
             stop = F.when(~hit & back, F.greatest(n - missing, F.lit(0))).otherwise(n)
-        return clip(reads, F.when(hit, F.least(F.lit(trim_5p), n)).otherwise(F.lit(0)), stop)
+        return clip(reads, dna.bounds(F.when(hit, F.least(F.lit(trim_5p), n)).otherwise(F.lit(0)), stop))
 
     return apply
 
@@ -134,7 +137,7 @@ def primer_trimmer() -> Modifier:
     """Drops the first colour and blanks the primer."""
 
     def apply(reads: DataFrame) -> DataFrame:
-        out = clip(reads, F.least(F.lit(1), F.length("sequence")), F.length("sequence"))
+        out = clip(reads, dna.bounds(F.least(F.lit(1), F.length("sequence")), F.length("sequence")))
         return out.withColumn("primer", F.lit("")) if "primer" in reads.columns else out
 
     return apply

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,7 +134,13 @@ def merge_overlapping(pairs: DataFrame, min_overlap: float = 0.9, error_rate: fl
             rcs = kernels.reverse_complement(raw, n2)
             flags = kernels.START_ADAPTER | kernels.STOP_READ if matched else 15
             reads, lengths = kernels.encode([one[x]["sequence"] for x in xs])
-            got = kernels.locate(rcs, reads, lengths, flags, error_rate, 1, adapter_lengths=n2)
+            # Mates that are equal over their whole length align without the matrix: no other cell has as many matches.
+            got = np.zeros((len(xs), 6), np.int64)
+            got[:, 1] = got[:, 3] = got[:, 4] = n2
+            width = min(rcs.shape[1], reads.shape[1])
+            todo = np.flatnonzero((n2 != lengths) | (rcs[:, :width] != reads[:, :width]).any(axis=1))
+            if len(todo):
+                got[todo] = kernels.locate(rcs[todo], reads[todo], lengths[todo], flags, error_rate, 1, adapter_lengths=n2[todo])
             for k, (x, g) in enumerate(zip(xs, got)):
                 rc2 = rcs[k, : n2[k]].tobytes().decode("latin-1")
                 a, b = one[x], two[x]

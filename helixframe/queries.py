@@ -1,109 +1,111 @@
 """Queries over reads that are derived from the documents, and the same in SQL.
 
-A read is made of a document's letters; its name, qualities, mate and adapters follow from its id and letters alone, so both
-engines see the same reads.
+Reads are made of all letters of all documents; names, qualities, mates and adapters follow from ids and letters alone, so
+both engines see the same reads.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe import oracles
 from helixframe.functions import dna
 from helixframe.operators import adapters as ad
 from helixframe.operators import colours, detect, error, filters, modifiers, pairs, qc
 from helixframe.plans.trim import TrimOptions, TrimPlan, pair_summary, summary
-from helixframe.sources import sinks
+from helixframe.sources import records, sinks
+from helixframe.storage import fresh, spread
 
 ADAPTER1, ADAPTER2 = "AGATCGGAAGAGCACACGTC", "AGATCGGAAGAGCGTCGTGT"
 #: Short sequences that many reads hold.
 MOTIFS = (("m1", "ACGT"), ("m2", "GATTA"), ("m3", "CCA"), ("m4", "TTAGC"))
 
-_READS = """b AS (SELECT doc_id AS read_idx,
-  concat('R:1:FC:1:', cast(1101 + doc_id % 4 AS varchar(9)), ':', cast(doc_id AS varchar(20))) AS name,
-  translate(substr(upper(regexp_replace(text,'[^A-Za-z]','','g')),1,100),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ','ACGTACGTACGTANGTACGTACGTAC') AS sequence FROM documents WHERE text IS NOT NULL),
-reads AS (SELECT *, substr(translate(concat(md5(sequence), md5(name), md5(concat(name,sequence)),
-  md5(concat(sequence,name))),'0123456789abcdef','#$&+/38<@BCDEFGH'),1,length(sequence)) AS qualities FROM b)"""
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTANGTACGTACGTAC"
+
+
+def _pieces_sql(size: str) -> str:
+    """src3: read_idx, name, sequence and 128 qualities of all pieces of a size of all texts."""
+    return f"""src0 AS (SELECT doc_id, {size} AS size, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{_LETTERS[0]}', '{_LETTERS[1]}') AS letters FROM documents),
+src1 AS (SELECT *, unnest(range(0, greatest(1, (length(letters) + size - 1) // size))) AS piece FROM src0),
+src2 AS (SELECT doc_id * 33554432 + piece AS read_idx, concat('R:1:FC:1:', cast(1101 + doc_id % 4 AS varchar), ':', cast(doc_id AS varchar), ':', cast(piece AS varchar)) AS name, substr(letters, piece * size + 1, size) AS sequence, doc_id * 7 + piece AS v FROM src1),
+src3 AS (SELECT *, translate(concat(md5(sequence), md5(name), md5(concat(name, sequence)), md5(concat(sequence, name))), '0123456789abcdef', '#$&+/38<@BCDEFGH') AS quals FROM src2)"""
+
+
+_READS = _pieces_sql("100") + ",\nreads AS (SELECT read_idx, name, sequence, substr(quals, 1, length(sequence)) AS qualities FROM src3)"
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, source: Callable[[SparkSession, str], DataFrame] | None = None):
-    """Register a function of reads as a query; sql is what follows the common table expressions.
-
-    Without SQL, and so without its cut, a query works on whole texts: on all pieces of them, or on another source."""
-    made = source or (reads if sql is not None else pieces)
+def query(sql: str | None = None, source: Callable[[SparkSession, str], DataFrame] | None = None, tables: str = _READS):
+    """Register a function of reads, or of another source, as a query; sql is what follows the common table expressions."""
+    made = source or reads
 
     def register(f):
         name = f.__name__
         Q[name] = lambda spark, sf_dir, f=f: f(made(spark, sf_dir))
         if sql is not None:
             text = sql.strip()
-            SQL[name] = f"WITH {_READS}{',' if text[:5].upper() != 'SELEC' else ''}\n{text}"
+            SQL[name] = f"WITH RECURSIVE {tables}{',' if text[:5].upper() != 'SELEC' else ''}\n{text}"
         return f
 
     return register
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    letters = F.substring(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), 1, 100)
-    ident = F.col("doc_id").cast("string")
-    base = docs.select(
-        F.col("doc_id").alias("read_idx"),
-        F.concat(F.lit("R:1:FC:1:"), (F.lit(1101) + F.col("doc_id") % 4).cast("string"), F.lit(":"), ident).alias("name"),
-        F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTANGTACGTACGTAC").alias("sequence"),
-    )
-    return base.withColumn("qualities", F.substring(_qualities(), F.lit(1), F.length("sequence")))
-
-
-def _qualities() -> Column:
-    """128 qualities of a read by its name and sequence."""
+def _pieces(spark: SparkSession, sf_dir: str, size: Column) -> DataFrame:
+    """read_idx, name, sequence, quals (128 of them), v: all letters of each text in consecutive pieces, the last one
+    shorter; a text that is null or without letters is one empty read. read_idx is doc_id * 2^25 + the piece's number, for
+    which no string is too long. Each piece is made once, inside the row, whatever is made of it later."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    letters = F.translate(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), *_LETTERS)
+    cut = dna.let(letters, lambda x: F.when(x == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(x, F.concat(F.lit(".{1,"), size.cast("string"), F.lit("}")), F.lit(0))))
+    head = F.concat(F.lit("R:1:FC:1:"), (F.lit(1101) + F.col("doc_id") % 4).cast("string"), F.lit(":"), F.col("doc_id").cast("string"), F.lit(":"))
     md = lambda *c: F.md5(F.concat(*c).cast("binary"))
-    return F.translate(F.concat(md("sequence"), md("name"), md("name", "sequence"), md("sequence", "name")), "0123456789abcdef", "#$&+/38<@BCDEFGH")
+    quals = lambda s, n: F.translate(F.concat(md(s), md(n), md(n, s), md(s, n)), "0123456789abcdef", "#$&+/38<@BCDEFGH")
+    one = lambda s, i: dna.let(F.concat(head, i.cast("string")), lambda n: F.struct(i.cast("bigint").alias("piece"), n.alias("name"), s.alias("sequence"), quals(s, n).alias("quals")))
+    rows = docs.select("doc_id", F.explode(F.transform(cut, one)).alias("x")).select("doc_id", "x.*")
+    ident = F.col("doc_id").cast("bigint")
+    return rows.select((F.shiftleft(ident, 25) + F.col("piece")).alias("read_idx"), "name", "sequence", "quals", (ident * 7 + F.col("piece")).alias("v"))
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as reads of 100 bases."""
+    return _pieces(spark, sf_dir, F.lit(100)).select("read_idx", "name", "sequence", F.substring("quals", F.lit(1), F.length("sequence")).alias("qualities"))
+
 
+def _swapped(text: Column, at: Column) -> Column:
+    """text with another base at a place."""
+    return F.concat(F.substring(text, F.lit(1), at - 1), F.translate(F.substring(text, at, F.lit(1)), "ACGT", "CATG"), F.substring(text, at + 1, F.length(text)))
 
-def pieces(spark: SparkSession, sf_dir: str, size: Column | int = 100) -> DataFrame:
-    """Reads that hold all letters of each text: its consecutive pieces of a size, the last one shorter. A text without
-    letters is one empty read. read_idx is doc_id * 2^25 + the piece's number, for which no string is too long."""
-    size = F.lit(size) if isinstance(size, int) else size
-    letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTANGTACGTACGTAC")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", letters.alias("letters"), size.cast("int").alias("size"))
-    cut = F.regexp_extract_all("letters", F.concat(F.lit(".{1,"), F.col("size").cast("string"), F.lit("}")), F.lit(0))
-    cut = docs.select("doc_id", F.posexplode(F.when(F.col("letters") == "", F.array(F.lit(""))).otherwise(cut)).alias("piece", "sequence"))
-    ident, tile = F.col("doc_id").cast("string"), (F.lit(1101) + F.col("doc_id") % 4).cast("string")
-    base = cut.select(
-        (F.shiftleft(F.col("doc_id").cast("bigint"), 25) + F.col("piece")).alias("read_idx"),
-        F.concat(F.lit("R:1:FC:1:"), tile, F.lit(":"), ident, F.lit(":"), F.col("piece").cast("string")).alias("name"),
-        "sequence",
-    )
-    return base.withColumn("qualities", F.substring(_qualities(), F.lit(1), F.length("sequence")))
 
+def pair_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as pairs with inserts of 40 to 79 bases. Both mates run into an adapter and are 80 bases long at most; three
+    of four have a base or two read wrongly, and in one of seven the mates don't overlap."""
+    p = _pieces(spark, sf_dir, F.lit(40) + F.pmod("doc_id", F.lit(40)))
+    v, ins = F.col("v"), F.col("sequence")
+    ends = p.withColumns({"s1": F.substring(F.concat(ins, F.lit(ADAPTER1)), 1, 80), "s2": F.substring(F.concat(F.when(v % 7 == 0, F.reverse(ins)).otherwise(dna.reverse_complement(ins)), F.lit(ADAPTER2)), 1, 80)})
+    ends = ends.withColumns({"s1": F.when(v % 2 == 1, _swapped(F.col("s1"), (v % 37 + 1).cast("int"))).otherwise(F.col("s1")), "s2": F.when(v % 4 >= 2, _swapped(F.col("s2"), (v % 31 + 1).cast("int"))).otherwise(F.col("s2"))})
+    ends = ends.withColumns({"q1": F.substring("quals", F.lit(1), F.length("s1")), "q2": F.substring(F.reverse("quals"), F.lit(1), F.length("s2"))})
+    return ends.select("read_idx", pairs.read_struct(F.concat("name", F.lit("/1")), F.col("s1"), F.col("q1")).alias("r1"), pairs.read_struct(F.concat("name", F.lit("/2")), F.col("s2"), F.col("q2")).alias("r2"))
 
-def pair_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose inserts are all pieces of 40 to 79 bases of each text."""
-    return pair_reads(pieces(spark, sf_dir, F.lit(40) + F.pmod("doc_id", F.lit(40))), whole=True)
 
+def _pairs_sql() -> str:
+    swap = lambda s, at: f"concat(substr({s}, 1, {at} - 1), translate(substr({s}, {at}, 1), 'ACGT', 'CATG'), substr({s}, {at} + 1))"
+    return f"""{_pieces_sql("40 + doc_id % 40")},
+src4 AS (SELECT *, substr(concat(sequence, '{ADAPTER1}'), 1, 80) AS s1, substr(concat(CASE WHEN v % 7 = 0 THEN reverse(sequence) ELSE {oracles.complement('sequence')} END, '{ADAPTER2}'), 1, 80) AS s2 FROM src3),
+src5 AS (SELECT read_idx, name, quals, CASE WHEN v % 2 = 1 THEN {swap('s1', '(v % 37 + 1)')} ELSE s1 END AS s1, CASE WHEN v % 4 >= 2 THEN {swap('s2', '(v % 31 + 1)')} ELSE s2 END AS s2 FROM src4),
+pairs AS (SELECT read_idx, name, s1, s2, substr(quals, 1, length(s1)) AS q1, substr(reverse(quals), 1, length(s2)) AS q2 FROM src5)"""
 
-def pair_reads(r: DataFrame, whole: bool = False) -> DataFrame:
-    """Pairs whose inserts are 40 to 79 bases of a read, or whole reads; both mates run into an adapter and are 80 bases
-    long at most."""
-    ins = F.col("sequence") if whole else F.substring("sequence", F.lit(1), (F.lit(40) + F.col("read_idx") % 40).cast("int"))
-    if whole:  # a last piece is shorter than half a mate
-        r = r.withColumn("qualities", F.substring(_qualities(), 1, 80))
-    with_ends = r.withColumns({"s1": F.substring(F.concat(ins, F.lit(ADAPTER1)), 1, 80), "s2": F.substring(F.concat(dna.reverse_complement(ins), F.lit(ADAPTER2)), 1, 80)})
-    with_ends = with_ends.withColumns({"q1": F.substring(F.concat("qualities", "qualities"), F.lit(1), F.length("s1")), "q2": F.substring(F.reverse(F.concat("qualities", "qualities")), F.lit(1), F.length("s2"))})
-    return with_ends.select("read_idx", pairs.read_struct(F.concat("name", F.lit("/1")), F.col("s1"), F.col("q1")).alias("r1"), pairs.read_struct(F.concat("name", F.lit("/2")), F.col("s2"), F.col("q2")).alias("r2"))
 
+_PAIRS = _pairs_sql()
 
-_PAIRS = f"""
-i AS (SELECT *, substr(sequence, 1, cast(40 + read_idx % 40 AS int)) AS ins FROM reads),
-p AS (SELECT read_idx, name, substr(concat(ins, '{ADAPTER1}'), 1, 80) AS s1, substr(concat(reverse(translate(ins,'ACGT','TGCA')), '{ADAPTER2}'), 1, 80) AS s2, qualities FROM i),
-pairs AS (SELECT read_idx, name, s1, s2, substr(concat(qualities, qualities), 1, length(s1)) AS q1, substr(reverse(concat(qualities, qualities)), 1, length(s2)) AS q2 FROM p)"""
+
+def pair_query(sql: str | None = None):
+    return query(sql, pair_reads, _PAIRS)
 
 
 def _shown(r: DataFrame) -> DataFrame:
@@ -282,17 +284,14 @@ def filter_max_n(r):
     return r.where(~filters.single(filters.n_content(0.1))).select("read_idx")
 
 
-_PAIR_TEST = "length(regexp_replace(s1, '[^N]', '', 'g')) > 5"
-
-
 def _pair_filter(affected: int):
-    return lambda r: pair_reads(r).where(filters.paired(filters.too_short(75), affected)).select("read_idx")
+    return lambda r: r.where(filters.paired(filters.too_short(75), affected)).select("read_idx")
 
 
 for _name, _affected, _test in (("pair_any", 1, "length(s1) < 75 OR length(s2) < 75"), ("pair_both", 2, "length(s1) < 75 AND length(s2) < 75"), ("pair_first", 0, "length(s1) < 75")):
     _f = _pair_filter(_affected)
     _f.__name__ = _name
-    query(f"{_PAIRS} SELECT read_idx FROM pairs WHERE {_test}")(_f)
+    pair_query(f"SELECT read_idx FROM pairs WHERE {_test}")(_f)
 
 
 @query("q AS (SELECT *, CASE WHEN length(sequence) < 60 THEN 'too_short' WHEN length(sequence) > 99 AND read_idx % 2 = 0 THEN 'too_long' WHEN length(regexp_replace(sequence, '[^nN]', '', 'g')) > 7 THEN 'max_n' ELSE 'main' END AS dest FROM reads) SELECT dest, count(*) AS records, cast(sum(length(sequence)) AS bigint) AS bp FROM q GROUP BY dest")
@@ -320,16 +319,6 @@ _exact("suffix", "AC", "substr(sequence, 1, length(sequence) - 2)")
 _exact("anywhere", "TACG", "CASE WHEN strpos(sequence, 'TACG') = 1 THEN substr(sequence, 5) ELSE substr(sequence, 1, strpos(sequence, 'TACG') - 1) END")
 
 
-@query("SELECT read_idx, " + " + ".join(f"CASE WHEN length(sequence) > {i} AND substr(sequence, {i + 1}, 1) <> '{c}' THEN 1 ELSE 0 END" for i, c in enumerate("TACGTACG")) + " AS mismatches FROM reads")
-def adapter_hamming_prefix(r):
-    return r.select("read_idx", dna.hamming_prefix(F.col("sequence"), "TACGTACG").alias("mismatches"))
-
-
-@query("v AS (SELECT read_idx, reverse(sequence) AS sequence FROM reads) SELECT read_idx, " + " + ".join(f"CASE WHEN length(sequence) > {i} AND substr(sequence, {i + 1}, 1) <> '{c}' THEN 1 ELSE 0 END" for i, c in enumerate("GCATGCAT")) + " AS mismatches FROM v")
-def adapter_hamming_suffix(r):
-    return r.select("read_idx", dna.hamming_prefix(F.reverse("sequence"), "GCATGCAT").alias("mismatches"))
-
-
 _BEST = "CASE " + " ".join(f"WHEN strpos(sequence, '{s}') > 0 THEN '{n}'" for n, s in sorted(MOTIFS, key=lambda m: -len(m[1]))) + " ELSE 'unknown' END"
 
 
@@ -366,22 +355,22 @@ def record_formats(r):
 # Pairs
 
 
-@query(f"""{_PAIRS},
+@pair_query(f"""
 x AS (SELECT *, length(s1) >= 10 AND length(s2) >= 10 AS ok, {' + '.join(f'(ascii(substr(q1, {i}, 1)) - 33)' for i in range(1, 11))} AS m1, {' + '.join(f'(ascii(substr(q2, {i}, 1)) - 33)' for i in range(1, 11))} AS m2 FROM pairs)
 SELECT read_idx, CASE WHEN ok AND m1 < 200 AND m2 >= 220 THEN reverse(translate(s2, 'ACGT', 'TGCA')) ELSE s1 END AS s1, CASE WHEN ok AND m2 < 200 AND m1 >= 220 THEN reverse(translate(s1, 'ACGT', 'TGCA')) ELSE s2 END AS s2 FROM x""")
 def overwrite_low_quality(r):
-    out = pairs.overwrite_low_quality(pair_reads(r), 20, 22, 10)
+    out = pairs.overwrite_low_quality(r, 20, 22, 10)
     return out.select("read_idx", F.col("r1.sequence").alias("s1"), F.col("r2.sequence").alias("s2"))
 
 
-@query(f"{_PAIRS} SELECT count(*) AS n_pairs, cast(sum(length(s1)) AS bigint) AS read1_bp, cast(sum(length(s2)) AS bigint) AS read2_bp FROM pairs")
+@pair_query("SELECT count(*) AS n_pairs, cast(sum(length(s1)) AS bigint) AS read1_bp, cast(sum(length(s2)) AS bigint) AS read2_bp FROM pairs")
 def paired_totals(r):
-    return pair_reads(r).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.length("r1.sequence")).alias("read1_bp"), F.sum(F.length("r2.sequence")).alias("read2_bp"))
+    return r.agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.length("r1.sequence")).alias("read1_bp"), F.sum(F.length("r2.sequence")).alias("read2_bp"))
 
 
-@query(f"{_PAIRS}, d AS (SELECT *, CASE WHEN length(s1) < 75 OR length(s2) < 75 THEN 'too_short' ELSE 'main' END AS dest FROM pairs), t AS (SELECT dest, count(*) AS n_pairs, cast(sum(length(s1)) AS bigint) AS read1_bp, cast(sum(length(s2)) AS bigint) AS read2_bp FROM d GROUP BY 1) SELECT *, n_pairs::DOUBLE / sum(n_pairs) OVER () AS fraction_n_pairs, read1_bp::DOUBLE / sum(read1_bp) OVER () AS fraction_read1_bp, read2_bp::DOUBLE / sum(read2_bp) OVER () AS fraction_read2_bp FROM t")
+@pair_query("d AS (SELECT *, CASE WHEN length(s1) < 75 OR length(s2) < 75 THEN 'too_short' ELSE 'main' END AS dest FROM pairs), t AS (SELECT dest, count(*) AS n_pairs, cast(sum(length(s1)) AS bigint) AS read1_bp, cast(sum(length(s2)) AS bigint) AS read2_bp FROM d GROUP BY 1) SELECT *, n_pairs::DOUBLE / sum(n_pairs) OVER () AS fraction_n_pairs, read1_bp::DOUBLE / sum(read1_bp) OVER () AS fraction_read1_bp, read2_bp::DOUBLE / sum(read2_bp) OVER () AS fraction_read2_bp FROM t")
 def paired_fractions(r):
-    out = pair_summary(TrimPlan.of(TrimOptions(minimum_length=75)).run_pairs(pair_reads(r)))
+    out = pair_summary(TrimPlan.of(TrimOptions(minimum_length=75)).run_pairs(r))
     return out.select("dest", "n_pairs", "read1_bp", "read2_bp", "fraction_n_pairs", "fraction_read1_bp", "fraction_read2_bp")
 
 
@@ -487,58 +476,102 @@ def trim_quality_minlen(r):
     return summary(plan.run(r)).select("dest", "records", "bp")
 
 
-@query()
-def adapter_dp_back(r):
-    return _shown_match(ad.cut_adapters(r, [ad.parse("x=TACGTACGTACGAAGT", max_error_rate=0.2)]))
+_S = "z AS (SELECT read_idx, sequence AS s, qualities AS q FROM reads), "
 
 
-@query()
-def adapter_dp_anywhere_times(r):
-    return _shown_match(ad.cut_adapters(r, ad.parse_all([("anywhere", "a=GATTACAGG"), ("back", "b=CCATTNGGA")], max_error_rate=0.2), times=2))
-
+def _match_query(name: str, adapters: list[ad.Adapter], times: int = 1, action: str = "trim"):
+    def f(r):
+        out = ad.cut_adapters(r, adapters, times=times, action=action)
+        return out.select("read_idx", "sequence", "qualities", "adapter_name", F.size("matches").alias("n_matches"))
 
-@query()
-def adapter_mask(r):
-    return _shown_match(ad.cut_adapters(r, [ad.parse("x=ACGTNACGT")], action="mask"))
+    f.__name__ = name
+    shown = "s AS sequence, q AS qualities" if action == "trim" else "concat(repeat('N', front), s, repeat('N', back)) AS sequence, r.qualities"
+    query(f"{_S}{oracles.rounds('z', 'w', adapters, times)} SELECT w.read_idx, {shown}, w.name AS adapter_name, n AS n_matches FROM w" + ("" if action == "trim" else " JOIN reads r ON r.read_idx = w.read_idx"))(f)
 
 
-@query()
-def linked(r):
-    return _shown_match(ad.cut_adapters(r, [ad.parse("x=TA...GATTACA", max_error_rate=0.2)]))
+_match_query("adapter_dp_back", [ad.parse("x=TACGTACGTACGAAGT", max_error_rate=0.2)])
+_match_query("adapter_dp_front", [ad.parse("x=GATTACAGG", "front", max_error_rate=0.25)])
+_match_query("adapter_dp_prefix", [ad.parse("x=^TACGTAC", "front", max_error_rate=0.3)])
+_match_query("adapter_dp_suffix", [ad.parse("x=GCATGCA$", max_error_rate=0.3)])
+_match_query("adapter_dp_anywhere_times", ad.parse_all([("anywhere", "a=GATTACAGG"), ("back", "b=CCATTNGGA")], max_error_rate=0.2), times=2)
+_match_query("adapter_indel_cost", [ad.parse("x=CCATTAGGAC", max_error_rate=0.3, indel_cost=2)])
+_match_query("adapter_mask", [ad.parse("x=ACGTNACGT")], action="mask")
+# Anchored adapters without gaps: the reads' ends are compared, no matrix.
+_match_query("adapter_hamming_prefix", [ad.parse("x=^TACGTACG", "front", max_error_rate=0.4, indels=False)])
+_match_query("adapter_hamming_suffix", [ad.parse("x=GCATGCAT$", max_error_rate=0.4, indels=False)])
 
+_LINKED = ad.parse("x=TA...GATTACA", max_error_rate=0.2)
 
-def _shown_match(r: DataFrame) -> DataFrame:
-    return r.select("read_idx", "sequence", "qualities", "adapter_name", F.size("matches").alias("n_matches"))
 
+@query(f"""{_S}{oracles.align('z', 'f', replace(_LINKED, where='prefix', back=None))}, y AS (SELECT z.read_idx, substr(s, rstop + 1) AS s, substr(q, rstop + 1) AS q FROM z JOIN f ON f.read_idx = z.read_idx), {oracles.align('y', 'g', _LINKED.back)}
+SELECT z.read_idx, CASE WHEN y.s IS NULL THEN z.s WHEN g.k IS NULL THEN y.s ELSE substr(y.s, 1, g.rstart) END AS sequence, CASE WHEN y.s IS NULL THEN z.q WHEN g.k IS NULL THEN y.q ELSE substr(y.q, 1, g.rstart) END AS qualities,
+CASE WHEN y.s IS NOT NULL THEN 'x' END AS adapter_name, (y.s IS NOT NULL)::INT + (g.k IS NOT NULL)::INT AS n_matches FROM z LEFT JOIN y ON y.read_idx = z.read_idx LEFT JOIN g ON g.read_idx = z.read_idx""")
+def linked(r):
+    out = ad.cut_adapters(r, [_LINKED])
+    return out.select("read_idx", "sequence", "qualities", "adapter_name", F.size("matches").alias("n_matches"))
 
-def _insert(**how):
-    def f(r):
-        out = pairs.cut_insert_adapters(r, ad.Adapter("a1", ADAPTER1, adapter_wildcards=False), ad.Adapter("a2", ADAPTER2, adapter_wildcards=False), **how)
-        return out.select("read_idx", F.length("r1.sequence").alias("n1"), F.length("r2.sequence").alias("n2"), F.col("r1.insert_overlap").alias("overlap"))
 
-    return f
+_A1, _A2 = (ad.Adapter(n, s, adapter_wildcards=False) for n, s in (("a1", ADAPTER1), ("a2", ADAPTER2)))
+_CUT = oracles.inserts(_A1, _A2)
+_END = lambda t, k: f"substr({t}{k}, 1, coalesce(r{k}, length(s{k})))"
 
 
-@query(source=pair_pieces)
+@pair_query(f"{_CUT} SELECT read_idx, {_END('s', 1)} AS s1, {_END('s', 2)} AS s2, r1 IS NOT NULL AS a1, r2 IS NOT NULL AS a2, overlap FROM cut")
 def insert_adapters(r):
-    return _insert()(r)
+    out = pairs.cut_insert_adapters(r, _A1, _A2)
+    c = F.col
+    return out.select("read_idx", c("r1.sequence").alias("s1"), c("r2.sequence").alias("s2"), c("r1.adapter_name").isNotNull().alias("a1"), c("r2.adapter_name").isNotNull().alias("a2"), c("r1.insert_overlap").alias("overlap"))
 
 
-@query(source=pair_pieces)
+@pair_query(f"{_CUT}, {oracles.corrected()} SELECT read_idx, {_END('s', 1)} AS s1, {_END('q', 1)} AS q1, {_END('s', 2)} AS s2, {_END('q', 2)} AS q2, c1::INT AS corrected1, c2::INT AS corrected2 FROM fixed")
 def correct_mismatches(r):
-    return _insert(correct="liberal")(r)
+    out = pairs.cut_insert_adapters(r, _A1, _A2, correct="liberal")
+    return out.select("read_idx", *[F.col(f"r{k}.{n}").alias(a) for k in "12" for n, a in (("sequence", f"s{k}"), ("qualities", f"q{k}"), ("corrected", f"corrected{k}"))])
 
 
-@query(source=pair_pieces)
+@query(source=pair_reads)
 def merge_overlap(r):
-    out = pairs.merge_overlapping(pairs.cut_insert_adapters(r, ad.Adapter("a1", ADAPTER1), ad.Adapter("a2", ADAPTER2)))
-    return out.select("read_idx", F.col("r1.sequence").alias("sequence"), F.col("r1.merged").alias("merged"))
+    out = pairs.merge_overlapping(pairs.cut_insert_adapters(r, _A1, _A2))
+    return out.select("read_idx", F.col("r1.sequence").alias("sequence"), F.col("r1.qualities").alias("qualities"), F.col("r1.merged").alias("merged"))
+
+
+_PLAN = TrimPlan.of(TrimOptions(adapters=[("back", ADAPTER1)], adapters2=[("back", ADAPTER2)], aligner="insert", quality_cutoff=[10], minimum_length=25, op_order="GACQW"))
+
 
+def _trim_paired_sql() -> str:
+    """Insert adapters, then the 3' trims of both mates by windows, then the length filter."""
+    trims = ""
+    for k in (1, 2):
+        trims += f""", t{k} AS (SELECT read_idx, {_END('s', k)} AS s, {_END('q', k)} AS q FROM cut),
+t{k}p AS (SELECT read_idx, i, 10 - (ascii(substr(q, i, 1)) - 33) AS x FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM t{k})),
+t{k}s AS (SELECT read_idx, i, sum(x) OVER (PARTITION BY read_idx ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS x FROM t{k}p),
+t{k}f AS (SELECT read_idx, max(i) AS stop FROM t{k}s WHERE x < 0 GROUP BY 1),
+t{k}m AS (SELECT a.read_idx, arg_max(a.i, (a.x, a.i)) AS i FROM t{k}s a LEFT JOIN t{k}f b ON b.read_idx = a.read_idx WHERE a.x > 0 AND (b.stop IS NULL OR a.i > b.stop) GROUP BY 1),
+t{k}n AS (SELECT t{k}.read_idx, coalesce(m.i - 1, length(s)) AS n FROM t{k} LEFT JOIN t{k}m m ON m.read_idx = t{k}.read_idx)"""
+    return f"{oracles.inserts(_PLAN.adapters1[0], _PLAN.adapters2[0])}{trims} SELECT CASE WHEN a.n < 25 OR b.n < 25 THEN 'too_short' ELSE 'main' END AS dest, count(*) AS n_pairs, sum(a.n)::BIGINT AS read1_bp, sum(b.n)::BIGINT AS read2_bp FROM t1n a JOIN t2n b ON b.read_idx = a.read_idx GROUP BY 1"
 
-@query(source=pair_pieces)
+
+@pair_query(_trim_paired_sql())
 def trim_paired(r):
-    o = TrimOptions(adapters=[("back", ADAPTER1)], adapters2=[("back", ADAPTER2)], aligner="insert", quality_cutoff=[10], minimum_length=25, op_order="GACQW")
-    return TrimPlan.of(o).run_pairs(r).groupBy("dest").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.length("r1.sequence")).alias("read1_bp"), F.sum(F.length("r2.sequence")).alias("read2_bp"))
+    return _PLAN.run_pairs(r).groupBy("dest").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.length("r1.sequence")).alias("read1_bp"), F.sum(F.length("r2.sequence")).alias("read2_bp"))
+
+
+# Files
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads written as FASTQ files and scanned again, in parts that break records."""
+    path = fresh(spark, "fastq")
+    sinks.write(sinks.records(reads(spark, sf_dir), "fastq"), path, ordered=True)
+    return records.read_fastq(spark, path, split=1_000_003)
+
+
+@query("SELECT row_number() OVER (ORDER BY read_idx) AS read_idx, name, sequence, qualities FROM reads", _files)
+def scan_fastq(r):
+    return _shown(r)
+
+
+# Detection
 
 
 @query()

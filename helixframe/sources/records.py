@@ -13,6 +13,7 @@ import gzip
 import io
 import itertools
 import lzma
+import re
 import struct
 from collections.abc import Iterator
 
@@ -38,8 +39,8 @@ class FormatError(ValueError):
 def _filesystem(path: str):
     from pyarrow import fs
 
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
+    if re.match(r"[a-zA-Z][\w+.-]+:/", path):
+        return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
     return fs.LocalFileSystem(), path
 
 
@@ -286,7 +287,7 @@ def _files(path: str) -> list[tuple[str, int]]:
     info = system.get_file_info(inner)
     if info.type != fs.FileType.Directory:
         return [(path, info.size or 0)]
-    head = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    head = re.match(r"(file:(?=/)|[a-zA-Z][\w+.-]+://(?=.*))?", path)[0] if path != inner else ""
     found = [x for x in system.get_file_info(fs.FileSelector(inner)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
     return [(head + x.path, x.size) for x in sorted(found, key=lambda x: x.path)]
 
