@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.storage import shared_dir, stored
+
+__all__ = ["WORD", "crc_mod", "free_names", "read_table", "shared_dir", "slices", "stored"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,32 +21,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-        sc.setCheckpointDir(path)
-        path = sc.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind as many underscores as it takes to clash with no column of df, however spelt."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
-def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further ones with clashing names can do no harm."""
-    return df.select(*[df[n] for n in names])
-
+def crc_mod(column: str, n: int) -> Column:
+    """crc32 of the id as decimal text, modulo n; null for a null id."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
-def crc_mod(column: str, n: int):
-    """crc32 of the id as decimal text, modulo n."""
-    from pyspark.sql import functions as F
 
-    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts in a column have some megabytes together, or that are one row."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(size):
+        if i > start and (total + n > most or i - start >= rows):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += int(n)
+    if start < batch.num_rows:
+        yield batch.slice(start)

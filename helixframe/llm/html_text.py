@@ -1,16 +1,27 @@
 """HTML extraction by composite text density.
 
 A page becomes a tree. Each node has its characters, tags, link characters and link tags; its composite density is the
-characters per tag, weighed down by the share of links. The node with the largest sum of its children's densities marks
-the article; the smallest density on its way up to the body is the threshold at which further parts count as article.
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are no part of the tree.
-
-A null or empty page, or one of markup only, has an empty text. Pages are worked on one by one; a page of any depth or
-length is walked without recursion. Repeated rows give equal texts. Extra columns are not read.
+characters per tag, weighed down by the share of links. The node with the largest sum of its children's densities holds the
+article; the smallest density on its way up to the body is the threshold. From the body down, each node as dense as the
+threshold marks the node of the largest sum below it, and nodes less dense are left out with all below them. So parts of
+an article that lies in several places are found, and menus and link lists aren't.
+
+Elements that say that they are navigation, footer, sidebar, form, script or style are no part of the tree. A class, an id
+or a role may say the same by a whole name (sidebar, cookie-banner, site-footer). That is weak evidence: where hardly any
+text is left without such elements, the largest of them is taken for the page's wrapper, and what it holds is looked at.
+
+What is kept: all in a marked node; all in the article or main element around the node of the largest sum; headings and
+paragraphs that stand beside that node on its way up (in the body itself: headings before it). Within these a list or box
+of links less dense than the threshold goes, unless it lies in that article or main element.
+
+A null or empty page, or one of markup only, has an empty text. Of equal sums the first node in the page counts. Pages are
+worked on one by one, without recursion and in time that grows with their length, however deep or unclosed their elements.
+Repeated rows give equal texts. Extra columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
@@ -18,7 +29,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from helixframe.llm.common import slices
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
@@ -33,11 +45,15 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table caption tbody td tfoot th thead tr ul".split()
 )
 #: Elements that are never article.
-APART = frozenset("head nav footer aside form script style noscript iframe template svg canvas button select input textarea dialog object embed audio video map menu title noembed noframes".split())
-#: Words in a class, an id or a role that tell the same.
+APART = frozenset("head nav footer aside script style noscript iframe template svg canvas button select input textarea dialog object embed audio video map menu title noembed noframes".split())
+#: Names in a class, an id or a role that say the same, alone or joined with each other and with the words of place.
 APART_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent gdpr footer header masthead menu menubar menus nav navbar navigation navi notice notices notification popup modal overlay promo promoted promotion related recommended recommendations share sharing shares sidebar sidebars social sponsor sponsored sponsors subscribe subscription newsletter signup login search toolbar widget widgets pagination pager skip contentinfo complementary alert reply replies respond".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent gdpr footer header masthead menu menubar menus nav navbar navigation navi notice notices notification popup modal overlay promo promoted promotion related recommended recommendations share sharing shares sidebar sidebars social sponsor sponsored sponsors subscribe subscription newsletter signup login search toolbar widget widgets pagination pager skip contentinfo complementary reply replies respond".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+PLACE_WORDS = frozenset("bar block bottom box button buttons col column container form global group head inner item items left link links list main outer page panel placeholder posts primary right row secondary section site slot space thread top unit wrap wrapper area".split())
+#: Share of the page's text without links that must be left outside elements set apart by name.
+LEFT = 0.1
 #: What an opening tag ends, up to the nearest element of the second set.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -56,37 +72,55 @@ _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Node:
-    __slots__ = ("tag", "apart", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "apart", "named", "parent", "article", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "most", "marked")
 
-    def __init__(self, tag: str, parent: Node | None, apart: bool = False):
-        self.tag, self.parent, self.apart = tag, parent, apart
+    def __init__(self, tag: str, parent: Node | None, apart: bool = False, named: str | None = None):
+        self.tag, self.parent, self.apart, self.named = tag, parent, apart, named
+        #: The article or main element around the node, or the node itself.
+        self.article: Node | None = self if tag in ("article", "main") else parent.article if parent is not None else None
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-
-    def inside(self, *tags: str) -> Node | None:
-        x = self.parent
-        while x is not None and x.tag not in tags:
-            x = x.parent
-        return x
-
-
-def _is_apart(tag: str, attrs: str, parent: Node) -> bool:
-    if tag in APART:
-        return True
-    if tag == "header":  # an article's own header may hold its title
-        return parent.tag not in ("article", "main") and parent.inside("article", "main") is None
-    if attrs and tag not in ("html", "body", "article", "main"):
-        for name, a, b, c in _ATTR.findall(attrs):
-            if name.lower() in ("class", "id", "role") and not APART_WORDS.isdisjoint(x.lower() for x in _NAMED.findall(a or b or c)):
-                return True
-    return False
+        self.most: Node = self
+        self.marked = False
+
+    def elements(self) -> Iterator[Node]:
+        """Child elements that aren't apart."""
+        return (y for y in self.items if isinstance(y, Node) and not y.apart)
+
+
+def _said(tag: str, attrs: str) -> str | None:
+    """Whether a form, or an element's class, id or role, says that it is no article: None, "part" or "comments"."""
+    if tag == "form":
+        return "part"
+    if not attrs or tag in ("html", "body", "article", "main") or "=" not in attrs:
+        return None
+    for name, a, b, c in _ATTR.findall(attrs):
+        if name.lower() in ("class", "id", "role"):
+            for token in (a or b or c).split():
+                words = {x.lower() for x in _NAMED.findall(token)}
+                own = words & APART_WORDS
+                if own and words <= APART_WORDS | PLACE_WORDS:
+                    return "comments" if own & COMMENT_WORDS else "part"
+    return None
 
 
 def parse(page: str) -> Node:
     """The tree of a page; elements that are never article are kept as empty nodes apart."""
     root = Node("html", None)
     open_: list[Node] = [root]
+    #: Places of the open elements of each tag, and of the open blocks: no end tag walks what is open.
+    places: dict[str, list[int]] = {"html": [0]}
+    block_places: list[int] = [0]
+    last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(k: int) -> None:
+        while len(open_) > k:
+            x = open_.pop()
+            places[x.tag].pop()
+            if x.tag in BLOCKS:
+                block_places.pop()
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -106,61 +140,56 @@ def parse(page: str) -> Node:
             if tag == "br":
                 open_[-1].items.append(" ")
                 continue
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    del open_[k:]
-                    break
-                # A misplaced end of an inline element doesn't end the block around it.
-                if open_[k].tag in BLOCKS and tag not in BLOCKS:
-                    break
+            k = places[tag][-1] if places.get(tag) else 0
+            # A misplaced end of an inline element doesn't end the block around it.
+            if k and (tag in BLOCKS or k > block_places[-1]):
+                close(k)
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in open_):
+        if tag in ("html", "body") and places.get(tag):
             continue
         if tag in _ENDS:
             what, until = _ENDS[tag]
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag in until:
-                    break
-                if open_[k].tag in what:
-                    del open_[k:]
+            while (k := last(what)) > last(until):
+                close(k)
         elif tag in _KEEPS_P:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == "p" or tag in _HEADINGS and open_[k].tag in _HEADINGS:
-                    del open_[k:]
-                    break
-                if open_[k].tag in BLOCKS:
-                    break
+            above = open_[block_places[-1]].tag
+            if above == "p" or tag in _HEADINGS and above in _HEADINGS:
+                close(block_places[-1])
         if tag in ("body", "div", "article", "nav", "main") and open_[-1].tag == "head":
-            open_.pop()
+            close(len(open_) - 1)
         above = open_[-1]
-        node = Node(tag, above, _is_apart(tag, attrs, above))
+        # An article's own header holds its title.
+        node = Node(tag, above, tag in APART or tag == "header" and above.article is None, _said(tag, attrs))
         above.items.append(node)
         if tag in RAW and not attrs.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
         elif tag not in VOID and not attrs.rstrip().endswith("/"):
+            places.setdefault(tag, []).append(len(open_))
+            if tag in BLOCKS:
+                block_places.append(len(open_))
             open_.append(node)
     return root
 
 
 def _length(s: str) -> int:
-    return len("".join(s.split()))
+    return len("".join((html.unescape(s) if "&" in s else s).split()))
 
 
 def _post_order(root: Node) -> list[Node]:
-    """Nodes that aren't apart, children before parents."""
+    """Nodes that aren't apart, children before parents, the later of two siblings first."""
     out, wait = [], [root]
     while wait:
         x = wait.pop()
         out.append(x)
-        wait += [y for y in x.items if isinstance(y, Node) and not y.apart]
+        wait += x.elements()
     return out[::-1]
 
 
-def measure(root: Node) -> list[Node]:
-    """Fill in counts, densities and sums; returns the nodes, children first."""
-    nodes = _post_order(root)
+def _count(nodes: list[Node]) -> None:
+    """Characters, tags, link characters and link tags of nodes, children first."""
     for x in nodes:
+        x.chars = x.tags = x.link_chars = x.link_tags = 0
         for y in x.items:
             if isinstance(y, str):
                 x.chars += _length(y)
@@ -169,6 +198,48 @@ def measure(root: Node) -> list[Node]:
                 x.tags += y.tags + 1
                 x.link_chars += y.chars if y.tag == "a" else y.link_chars
                 x.link_tags += y.link_tags + (y.tag == "a")
+
+
+def set_apart(root: Node) -> list[Node]:
+    """Take the elements that say that they are no article for what they say, as long as text is left without them; returns
+    the nodes that stay, children first, with their counts."""
+    nodes = _post_order(root)
+    _count(nodes)
+    if any(x.named for x in nodes):
+        plain = lambda x: x.chars - x.link_chars
+        # Text without links outside named elements, for each node; the named ones right below each of them.
+        outside: dict[int, int] = {}
+        below: dict[int, list[Node]] = {}
+        for x in nodes:
+            outside[id(x)], below[id(x)] = plain(x), []
+            for y in x.elements():
+                outside[id(x)] -= plain(y) - (0 if y.named else outside[id(y)])
+                # The smaller list goes into the larger.
+                found = [y] if y.named else below[id(y)]
+                if len(found) > len(below[id(x)]):
+                    found, below[id(x)] = below[id(x)], found
+                below[id(x)] += found
+        left, enough = outside[id(root)], LEFT * plain(root)
+        rank = {id(x): -i for i, x in enumerate(nodes)}
+        key = lambda x: (x.named == "comments", -plain(x), rank[id(x)])
+        heap = [(*key(x), x) for x in below[id(root)]]
+        heapq.heapify(heap)
+        while heap and left < enough and (heap[0][0] is False or left == 0):
+            x = heapq.heappop(heap)[-1]
+            x.named = None
+            left += outside[id(x)]
+            for y in below[id(x)]:
+                heapq.heappush(heap, (*key(y), y))
+        for x in nodes:
+            x.apart = x.named is not None
+        nodes = _post_order(root)
+        _count(nodes)
+    return nodes
+
+
+def measure(root: Node) -> list[Node]:
+    """Fill in counts, densities, sums and the node of the largest sum below each; returns the nodes, children first."""
+    nodes = set_apart(root)
     all_chars, all_links = max(1, root.chars), root.link_chars
     for x in nodes:
         if x.chars:
@@ -176,41 +247,60 @@ def measure(root: Node) -> list[Node]:
             base = math.log(c / max(1, c - lc) * lc + all_links / all_chars * c + math.e)
             x.density = c / t * max(0.0, math.log(c / max(1, lc) * (t / max(1, lt)))) / max(math.log(base + math.e - 1), 1e-9)
     for x in nodes:
-        x.total = sum(y.density for y in x.items if isinstance(y, Node) and not y.apart)
+        x.total, x.most = sum(y.density for y in x.elements()), x
+        for y in x.elements():
+            if y.most.total > x.most.total:
+                x.most = y.most
     return nodes
 
 
-def article(root: Node) -> tuple[Node, float]:
-    """The subtree that holds the article, and the threshold from its path to the body."""
+def article(root: Node) -> tuple[Node, list[Node], float]:
+    """The node of the largest sum, its way up to the body, and the threshold; the nodes that hold the article are marked."""
     nodes = measure(root)
     body = next((x for x in nodes if x.tag == "body"), root)
-    best, at = body, len(nodes)
-    for i, x in enumerate(nodes):
-        if x.total > best.total or x.total == best.total and i < at and x is not body and best is body and x.inside("body"):
-            best, at = x, i
+    best = body.most
     path = [best]
-    while path[-1] is not body and path[-1].parent is not None:
+    while path[-1] is not body:
         path.append(path[-1].parent)
     threshold = min(x.density for x in path)
-    # The densest part may be a section of the article: what surrounds it belongs to it as long as, apart from the part
-    # itself, it is text rather than links and as dense as the path asks.
-    top = best
-    for x in path[1:]:
-        if x is body and top.tag in ("article", "main"):
-            break
-        rest, links = x.chars - top.chars, x.link_chars - top.link_chars
-        if x.tag in ("article", "main") or rest == 0 or links <= 0.3 * rest and x.density >= threshold:
-            top = x
-    return top, threshold
+    wait = [body]
+    while wait:
+        x = wait.pop()
+        if x.density >= threshold and x.chars:
+            x.most.marked = True
+            if x.most is not x:
+                wait += x.elements()
+    return best, path, threshold
+
+
+def _links(x: Node, threshold: float) -> bool:
+    """A list or box that is links for the most part, less dense than the threshold."""
+    return x.density < threshold and x.link_tags >= 2 and x.link_chars > 0.6 * x.chars and x.tag in ("ul", "ol", "div", "section", "table", "dl", "p")
 
 
-def _menu(x: Node) -> bool:
-    """A list or box within the article that is links for the most part."""
-    return x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.link_tags >= 2 and x.link_chars > 0.6 * x.chars
+def kept(root: Node) -> Iterator[tuple[Node, bool]]:
+    """The elements in page order, with whether their own text is kept; those that are left out with all below are missing."""
+    best, path, threshold = article(root)
+    body, way = path[-1], {id(x) for x in path}
+    home = best.article
+    before = True
+    wait: list[tuple[Node, bool] | None] = [(body, False)]
+    while wait:
+        x, inside = wait.pop()
+        if x is best:
+            before = False
+        beside = x.parent is not None and id(x.parent) in way and x is not best
+        inside = inside or x.marked or x is home or beside and (x.tag in _HEADINGS and (before or x.parent is not body) or x.tag == "p" and x.parent is not body)
+        if inside and (home is None or x.article is not home) and x is not best and id(x) not in way and _links(x, threshold):
+            continue
+        yield x, inside
+        wait += [(y, inside) for y in x.elements()][::-1]
 
 
-def blocks(top: Node) -> list[str]:
-    """Texts of the blocks under a node in page order: references decoded, white space one space, none empty."""
+def blocks(root: Node) -> list[str]:
+    """Texts of the kept blocks in page order: references decoded, white space one space, none empty."""
+    seen = list(kept(root))
+    keep = {id(x): own for x, own in seen}
     out: list[str] = []
     part: list[str] = []
 
@@ -221,33 +311,29 @@ def blocks(top: Node) -> list[str]:
             if text:
                 out.append(text)
 
-    wait: list = [top]
+    wait: list = [(seen[0][0], False)]
     while wait:
-        x = wait.pop()
+        x, own = wait.pop()
         if x is None:
             close()
         elif isinstance(x, str):
-            part.append(x)
+            if own:
+                part.append(x)
         elif x.tag == "br":
             part.append(" ")
-        elif not x.apart and (x is top or not _menu(x)):
-            items = x.items
-            if x.tag == "header":
-                items = [y for y in items if isinstance(y, Node) and (y.tag in _HEADINGS or y.tag in ("div", "hgroup"))]
+        elif not x.apart:
             if x.tag in BLOCKS:
                 close()
-                wait.append(None)
-            wait += items[::-1]
+                wait.append((None, False))
+            if id(x) in keep:
+                wait += [(y, keep[id(x)]) for y in x.items[::-1]]
     close()
     return out
 
 
 def extract(page: str | None) -> str:
     """The main text of a page."""
-    if not page:
-        return ""
-    top, _ = article(parse(page))
-    return "\n\n".join(blocks(top))
+    return "\n\n".join(blocks(parse(page))) if page else ""
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -255,13 +341,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 2):
                 text = [extract(x.as_py()) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    slim = pages.select(pages[id_col].cast("bigint").alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    return slim.mapInArrow(rows, "id bigint, url string, text string, n_chars bigint").withColumnsRenamed({"id": id_col, "url": url_col})
+    slim = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
+    return slim.mapInArrow(rows, f"id {slim.schema['id'].dataType.simpleString()}, url string, text string, n_chars bigint").withColumnsRenamed({"id": id_col, "url": url_col})
 
 
 def query(pages: DataFrame) -> DataFrame:

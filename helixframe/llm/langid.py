@@ -4,8 +4,11 @@ Bytes are embedded, filters of several widths slide over fixed-length windows, t
 feeds a softmax. A text is cut into windows from end to end, none left out, and the mean of the windows' log
 probabilities, by their lengths, decides.
 
-A null text, or one without a letter, gets "und" with score 0. Each row is judged on its own, whatever its source.
-Documents without a label teach nothing; where no labelled row can teach (an empty table), all is "und".
+A null text, or one without a letter, gets "und" with score 0. Each row is judged on its own, whatever its source, and a
+text of any length by all of its windows, some at a time. Documents without a label teach nothing; where no labelled row
+can teach (an empty table), all is "und". A row without an id counts as held out. Repeated rows teach as one and are judged
+alike. Of equal probabilities the language first in code-point order is named. Extra columns are kept by predict(), and
+those that have the names of its results are replaced.
 """
 
 from __future__ import annotations
@@ -16,17 +19,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import crc_mod
+from helixframe.llm.common import crc_mod, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
 FILTERS, DIM = 8, 8
-#: Rows that teach, for each language at most (in expectation: they are drawn by the hash of the id), and in all.
-TRAIN_PER_LANG, TRAIN_ROWS = 400, 8000
+#: Rows that teach: for each language at most, and in all (but one for each language whatever their number). Windows that
+#: each of them teaches with, cut from anywhere in its whole text.
+TRAIN_PER_LANG, TRAIN_ROWS, ROW_WINDOWS = 400, 8000, 8
 STEPS, BATCH, RATE = 500, 64, 4e-3
 UNKNOWN = "und"
 #: Windows that pass through the network at once: bounds memory whatever a text's length.
@@ -72,8 +77,21 @@ def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return w, length
 
 
-def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7) -> ByteCNN:
-    """Adam on windows cut at random places; some are short, so that short texts are known too."""
+def teaching_windows(text: str) -> list[bytes]:
+    """ROW_WINDOWS parts of a text at places that its hash draws evenly over all of it. Half of them are a window long; the
+    others are shorter, so that short texts are known too."""
+    data = text.encode()
+    rng = np.random.default_rng(xxhash.xxh64_intdigest(data))
+    out = []
+    for k in range(ROW_WINDOWS):
+        n = WINDOW if k % 2 else int(rng.integers(8, WINDOW))
+        at = int(rng.integers(0, max(1, len(data) - n + 1)))
+        out.append(data[at : at + n])
+    return out
+
+
+def train(windows: list[bytes], langs: list[str], steps: int = STEPS, seed: int = 7) -> ByteCNN:
+    """Adam on windows drawn at random, as many of each language."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     widest, total = max(WIDTHS), FILTERS * len(WIDTHS)
@@ -91,17 +109,13 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7)
     net = ByteCNN(names, **par)
     if len(names) < 2:
         return net
-    data = [t.encode() for t in texts]
-    by = [[d for d, g in zip(data, langs) if g == name] for name in names]
+    by = [[d for d, g in zip(windows, langs) if g == name] for name in names]
     m, v = {k: np.zeros_like(x) for k, x in par.items()}, {k: np.zeros_like(x) for k, x in par.items()}
     for step in range(1, steps + 1):
         y = rng.integers(0, len(names), BATCH)
         x = np.zeros((BATCH, WINDOW), np.uint8)
         for r, lang in enumerate(y):
-            d = by[lang][rng.integers(len(by[lang]))]
-            n = WINDOW if rng.random() < 0.5 else int(rng.integers(8, WINDOW))
-            at = int(rng.integers(0, max(1, len(d) - n)))
-            part = d[at : at + n]
+            part = by[lang][rng.integers(len(by[lang]))]
             x[r, : len(part)] = np.frombuffer(part, np.uint8)
         h, at = net.hidden(x)
         a = np.maximum(h, 0)
@@ -169,27 +183,37 @@ def classify(net: ByteCNN, texts: list[str | None]) -> tuple[list[str], list[flo
     return names, scores
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled rows, drawn by the hash of the id at a rate of its own for each language."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(F.trim(text_col)) > 0))
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(1000).collect()
-    keep = F.lit(False)
+def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[bytes], list[str]]:
+    """Windows of a bounded sample of labelled rows, and their languages.
+
+    Of each language the rows that the hash of the id puts first teach, then the smaller id, then the smaller text;
+    rows that agree in all three teach once. The rows are thinned by the hash first, so that no window function meets more
+    than a few hundred rows of a language; what is cut from a text comes to the driver, not the text.
+    """
+    own = docs.select(docs[id_col].alias("i"), docs[lang_col].alias("l"), docs[text_col].alias("t")).where(F.col("l").isNotNull() & (F.length(F.trim("t")) > 0))
+    # A language is a column of the network, so that one row for each of them fits the driver or no network does.
+    counts = [tuple(r) for r in own.groupBy("l").count().collect()]
     share = min(TRAIN_PER_LANG, max(1, TRAIN_ROWS // max(1, len(counts))))
-    for lang, n in counts:
-        limit = min(1.0, share / n)
-        keep = keep | ((F.col(lang_col) == lang) & (F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1_000_000)) < int(limit * 1_000_000) + 1))
-    # Of a long text, some pieces at places that its length sets are enough to teach; predictions read all of it.
-    piece = lambda at: F.substring(F.col(text_col), F.floor(F.length(text_col) * F.lit(at)).cast("int") + 1, F.lit(1200))
-    text = F.when(F.length(text_col) <= 6000, F.col(text_col)).otherwise(F.concat(*[piece(x / 4) for x in range(4)]))
-    got = rows.where(keep).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), text.alias("t")).orderBy("i", "l", "t").limit(TRAIN_ROWS).toPandas()
-    return got["t"].tolist(), got["l"].tolist()
+    rates = F.broadcast(docs.sparkSession.createDataFrame([(lang, (2 * share + 100) / n * 1_000_000) for lang, n in counts], "of string, rate double"))
+    h = F.xxhash64("i", F.lit(9))
+    few = own.join(rates, F.col("l") == F.col("of")).where(F.pmod(h, F.lit(1_000_000)) < F.col("rate"))
+    few = few.groupBy("l", "i", F.xxhash64("t").alias("same")).agg(F.min("t").alias("t"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.pmod(h, F.lit(1_000_000)), h, "i", "t"))
+    few = few.withColumn("rank", rank).where(F.col("rank") <= share).select("l", "rank", "t")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [teaching_windows(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.binary()))], names=["l", "rank", "w"])
+
+    got = few.mapInArrow(rows, "l string, rank int, w array<binary>").orderBy("l", "rank").toPandas()
+    return [bytes(x) for w in got["w"] for x in w], [lang for lang, w in zip(got["l"], got["w"]) for _ in w]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out=None) -> ByteCNN:
     """Train on the rows for which held_out (a boolean column) is false."""
     rows = docs if held_out is None else docs.where(~held_out)
-    texts, langs = training_rows(rows, id_col, text_col, lang_col)
-    return train(texts, langs)
+    return train(*training_windows(rows, id_col, text_col, lang_col))
 
 
 def predict(docs: DataFrame, net: ByteCNN, text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -202,14 +226,15 @@ def predict(docs: DataFrame, net: ByteCNN, text_col: str = "text", keep: list[st
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = classify(shared.value, batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in held], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *out])
+            for part in slices(batch, at):
+                names, scores = classify(shared.value, part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in held], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *out])
 
     return slim.mapInArrow(rows, schema)
 
 
 def held_out(id_col: str = "doc_id"):
-    return crc_mod(id_col, 4) == 2
+    return F.coalesce(crc_mod(id_col, 4) == 2, F.lit(True))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Media columns: texts as WAV samples, short-time Fourier transforms and spectral-peak pair fingerprints.
 
 Each row is worked on its own, so hot sources or repeated rows cost nothing extra. A null text is the empty text; an
-empty payload is one block of padding. Null ids stay null. Extra columns of the input are not read.
+empty payload is one block of padding. A text of any length is transformed some thousand frames at a time. Of peaks of equal
+strength the lower bin counts. Null ids stay null; repeated rows give equal rows; an empty table gives an empty table.
+Extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import slices
+
 #: Padding unit in samples, also the length of a frame.
 BLOCK = 576
 PAD = b"\xff"
@@ -66,8 +70,8 @@ def peaks(magnitudes: np.ndarray) -> np.ndarray:
     inner = magnitudes[:, 1:-1]
     top = (inner > magnitudes[:, :-2]) & (inner >= magnitudes[:, 2:])
     # Rounded, so that the last bits of the transform decide no order; ties go to the lower bin.
-    level = np.where(top, np.round(inner, 2), -1.0)
-    level = level * 1024 + np.arange(level.shape[1], 0, -1, dtype=np.float32)[None, :] / 1024
+    level = np.where(top, np.rint(inner.astype(np.float64) * 100), -1.0)
+    level = level * 1024 + np.arange(level.shape[1], 0, -1)[None, :]
     best = np.argpartition(-level, PEAKS, axis=1)[:, :PEAKS]
     bins = np.where(np.take_along_axis(top, best, axis=1), best + 1, -1)
     return np.sort(bins, axis=1).astype(np.int64)
@@ -103,8 +107,8 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", batches_id), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media", pa.binary()), ("sample_rate", pa.int32()), ("times", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int32()))])
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part, out = batch.slice(at, 64), []
+            for part in slices(batch, 1, rows=64):
+                out = []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     data = (text or "").encode()
                     media = write_wav(padded(data))
@@ -119,7 +123,8 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """One row per document with digests of what with_media() stores. Equal texts have equal values."""
+    """One row per document with digests of what with_media() stores, and the fingerprint: hashes of peak pairs and the
+    frames (times) of their anchors. Equal texts have equal values."""
     m = with_media(docs)
     return m.select(
         "doc_id",
@@ -131,4 +136,7 @@ def media_digest(docs: DataFrame) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         F.concat(F.size("hashes").cast("string"), F.lit(":"), F.lower(F.hex(F.xxhash64("times", "hashes")))).alias("feature"),
         F.size("hashes").cast("bigint").alias("n_pairs"),
+        "sample_rate",
+        "times",
+        "hashes",
     )

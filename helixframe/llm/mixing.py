@@ -7,8 +7,14 @@ the id deals out; what the blocks leave undecided flies again, in fewer blocks,
 its landing problem of a dozen units is settled by weighing all their samples. Nothing depends on partitions or the order
 of rows: reruns agree.
 
+Rows that agree in id, source and text are one class: of its m rows, each due d copies, m times the fraction of d are due
+together. The whole part of that is certain and only its fraction is a unit that flies, so a class of any number of rows is
+one row throughout, and which of its rows get a copy more doesn't matter.
+
 Null texts and empty texts have size 0 and are taken as any other; a source without words has target 0, and none of its
-documents is drawn. Null sources form a source of their own, the last. Repeated rows are separate units.
+documents is drawn. Null sources form a source of their own, the last; null ids are ids like others. A text of any length
+is its count of words. Ties in the landing go to the first sample. An empty table gives an empty table. Extra columns aren't
+read by mix(); mix_rows() keeps all columns, and calls own ones that clash with them mix_<name>.
 """
 
 from __future__ import annotations
@@ -32,18 +38,19 @@ _EPS = 1e-9
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the text)."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    """doc_id, source, h (of id and text), size (words of the text)."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    return docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("h"), size.alias("size"))
 
 
 def targets(units: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
-    """source, source_size, n_docs, target: one row per source.
+    """source, source_size, n_units, target: one row per source; units: source, size and m, how many rows a unit stands for.
 
     With t words for each unit of weight, a source gets min(t * weight, most * size). The t that spends the total lies
     where the sources with the lowest size per weight are full and the rest share what is left, so sorting by that ratio
     and running sums find it: no loop. Only one row per source passes through the windows.
     """
-    by = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    by = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n_units"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     by = by.withColumn("w", F.get(F.array(*[F.lit(float(x)) for x in weights]), (rank - 1) % len(weights)))
     by = by.withColumn("full", F.col("source_size") * float(most)).withColumn("ratio", F.col("full") / F.col("w"))
@@ -55,7 +62,7 @@ def targets(units: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float
     by = by.withColumn("t", (F.col("goal") - F.col("spent")) / F.col("w_left"))
     by = by.withColumn("level", F.max(F.when(F.col("t") <= F.col("ratio"), F.col("t"))).over(whole))
     target = F.least(F.coalesce(F.col("level") * F.col("w"), F.col("full")), F.col("full"))
-    return by.select("source", "source_size", "n_docs", target.alias("target"))
+    return by.select("source", "source_size", "n_units", target.alias("target"))
 
 
 def _uniform(*key) -> float:
@@ -109,7 +116,7 @@ def _fly(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
     # Long documents fly first, in classes of like size and at random within: the many short ones that follow settle
     # them, and what is left to land is short.
     scale = -np.floor(np.log2(pdf["size"].to_numpy(float) + 1))
-    pdf = pdf.assign(scale=scale).sort_values(["scale", "h", "doc_id", "size"], kind="stable", na_position="last").drop(columns="scale").reset_index(drop=True)
+    pdf = pdf.assign(scale=scale).sort_values(["scale", "h", "size"], kind="stable").drop(columns="scale").reset_index(drop=True)
     keys = [(int(h), i) for i, h in enumerate(pdf["h"])]
     size, p = pdf["size"].to_numpy(float), pdf["p"].to_numpy(float).copy()
     if last:
@@ -130,23 +137,28 @@ def _lands(pdf: pd.DataFrame) -> pd.DataFrame:
     return _fly(pdf, True)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken for each document; copies is 0 to most."""
-    units = stored(sized(docs), "mix-units")
+#: Rows of a class that one task makes at a time, and above which a class joins by itself.
+CHUNK, HOT = 10_000, 100_000
+
+
+def classes(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, block: int = BLOCK) -> DataFrame:
+    """doc_id, source, h, size, m, source_size, target, base, extra: one row for each class of m equal rows. Each of these
+    is taken base times, and extra of them once more."""
+    units = sized(docs).groupBy("doc_id", "source", "h", "size").agg(F.count(F.lit(1)).alias("m"))
+    units = stored(units, "mix-units")
     goals = stored(targets(units, weights, total, most), "mix-targets")
     # A table of one row per source: joined by the engine's own choice, no forced broadcast.
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = units.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("due", F.least(due, F.lit(float(most)))).withColumn("base", F.floor(F.col("due") + _EPS))
-    rows = rows.withColumn("p", F.greatest(F.col("due") - F.col("base"), F.lit(0.0)))
-    # Rows that agree in everything are units of their own: n numbers them, spread by the hash of the id.
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "size")).withColumn("blocks", F.ceil(F.col("n_docs") / F.lit(block)))
+    rows = rows.withColumn("owed", F.greatest(F.col("due") - F.col("base"), F.lit(0.0)) * F.col("m")).withColumn("extra", F.floor(F.col("owed") + _EPS))
+    rows = rows.withColumn("p", F.greatest(F.col("owed") - F.col("extra"), F.lit(0.0))).withColumn("blocks", F.ceil(F.col("n_units") / F.lit(block)))
     # The id passes through pandas as text: a null beside it must not turn it into a float.
     kind = docs.schema["doc_id"].dataType
-    slim = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "size", "source_size", "target", "base", "p", "h", "n_docs", "blocks")
+    slim = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "h", "size", "m", "source_size", "target", "base", "extra", "p", "blocks")
     slim = slim.withColumn("n", F.pmod(F.xxhash64("h", F.lit(7)), F.col("blocks")))
     schema = slim.schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ")
-    biggest = goals.agg(F.max("n_docs")).first()[0] or 0
+    biggest = goals.agg(F.max("n_units")).first()[0] or 0
     done = []
     while True:
         last = biggest <= block
@@ -162,5 +174,54 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MO
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    copies = (F.col("base") + F.round("p")).cast("bigint")
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    extra = (F.col("extra") + F.round("p")).cast("bigint")
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "h", "size", "m", "source_size", "target", F.col("base").cast("bigint").alias("base"), extra.alias("extra"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, block: int = BLOCK) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken for each document; copies is 0 to most.
+
+    The rows of a class are made from their number, some thousands in a task."""
+    kinds = classes(docs, weights, total, most, block)
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / CHUNK))).alias("chunk")
+    few, many = kinds.where(F.col("m") <= CHUNK).withColumn("chunk", F.lit(0).cast("bigint")), kinds.where(F.col("m") > CHUNK).select("*", chunk).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = F.col("chunk") * CHUNK
+    place = F.explode(F.sequence(first, F.least(first + CHUNK, F.col("m")) - 1)).alias("place")
+    rows = few.unionByName(many).select("*", place)
+    copies = F.col("base") + (F.col("place") < F.col("extra")).cast("bigint")
+    return rows.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix_rows(docs: DataFrame, **how) -> DataFrame:
+    """All columns of docs with source_size, target, size, copies and taken, for each row.
+
+    Rows find their class by id, source and hash; classes of very many rows do so by a broadcast of their own, or as far as
+    those are many too by the engine's own splitting. Only where some of a class's rows get a copy more than others its rows
+    are numbered: those rows are written down with a number, and counted for each of the writer's parts.
+    """
+    names = ["size", "source_size", "target", "copies", "taken"]
+    own = [n if n.lower() not in {c.lower() for c in docs.columns} else f"mix_{n}" for n in names]
+    kinds = stored(classes(docs, **how), "mix-classes").select(*[F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "source", "h", "size", "m", "source_size", "target", "base", "extra")])
+    c = lambda n: F.col(f"__mix_{n}")
+    on = docs["doc_id"].eqNullSafe(c("doc_id")) & docs["source"].eqNullSafe(c("source")) & (F.xxhash64(docs["doc_id"], docs["text"]) == c("h"))
+    rows = docs.join(kinds.where(c("m") <= HOT), on)
+    hot = kinds.where(c("m") > HOT)
+    n = hot.count()
+    if n:
+        rows = rows.unionByName(docs.join(F.broadcast(hot) if n <= 100_000 else hot, on))
+    copies = c("base") + F.when(c("extra") == c("m"), 1).otherwise(0)
+    even = (c("extra") == 0) | (c("extra") == c("m"))
+    final = lambda df, x: df.select(*docs.columns, *[v.cast("double" if k.endswith("target") else "bigint").alias(k) for k, v in zip(own, (c("size"), c("source_size"), c("target"), x, x * c("size")))])
+    out = final(rows.where(even), copies)
+    if kinds.where(~even).limit(1).count():
+        some = stored(rows.where(~even).withColumn("__mix_row", F.monotonically_increasing_id()), "mix-uneven")
+        by = ["__mix_doc_id", "__mix_source", "__mix_h"]
+        some = some.withColumn("__mix_part", F.shiftright("__mix_row", 33))
+        parts = some.groupBy(*by, "__mix_part").agg(F.count(F.lit(1)).alias("__mix_n"))
+        before = F.coalesce(F.sum("__mix_n").over(Window.partitionBy(*by).orderBy("__mix_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = parts.select(*[F.col(x).alias(f"{x}_") for x in (*by, "__mix_part")], before.alias("__mix_before"))
+        rank = F.row_number().over(Window.partitionBy(*by, "__mix_part").orderBy("__mix_row"))
+        match = [F.col(x).eqNullSafe(F.col(f"{x}_")) for x in (*by, "__mix_part")]
+        ranked = some.withColumn("__mix_rank", rank).join(parts, match)
+        out = out.unionByName(final(ranked, c("base") + (F.col("__mix_rank") + F.col("__mix_before") <= c("extra")).cast("bigint")))
+    return out

@@ -4,9 +4,11 @@ A linear model scores the hashed words, word beginnings and beginnings that seve
 text. Labelled texts that name a group are copied with the identity term swapped for others of its kind, and training
 penalises the squared change of the score between the two, so that naming a group neutrally costs nothing.
 
-A null text is the empty text; both get the score of no evidence. Each row is scored on its own. Repeated label rows
-teach repeatedly; documents without a label teach nothing; without any label of either class all scores are that class's
-share (0 with no labels at all).
+A null text is the empty text; both get the score of no evidence. Each row is scored on its own, a text of any length as a
+whole. A score of 0.5 is toxic. An id teaches once for each label it has, however often it is repeated in either table, by
+the smallest of its texts; documents without a label teach nothing, and a row without an id counts as held out. Without any
+label of either class all scores are near that class (near 0 with no labels at all). An empty table gives an empty table.
+Extra columns are kept by score(), and those that have the names of its results are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import crc_mod
+from helixframe.llm.common import crc_mod, slices
 
 #: Identity terms, exchangeable within a line. A parameter.
 IDENTITY = (
@@ -45,7 +47,7 @@ IDENTITY = (
 
 #: Hash space of the features; those kept for the model at most; the smallest chi-square that keeps one.
 BITS, MOST_FEATURES, LEAST_CHI2 = 22, 4096, 12.0
-#: Labelled rows that teach, for each class at most (in expectation: drawn by the hash of the id).
+#: Labelled ids that teach, for each class at most: those that the hash of the id puts first.
 TRAIN_PER_CLASS = 4000
 #: Weight of the counterfactual penalty, of the squares of the weights, and the steps of training.
 CF_WEIGHT, L2, STEPS = 1.0, 3e-5, 600
@@ -203,15 +205,23 @@ def _sample_rows(identity):
     return rows
 
 
-def fit(labelled: DataFrame, identity=IDENTITY, per_class: int = TRAIN_PER_CLASS, cf_weight: float = CF_WEIGHT) -> Model:
-    """labelled: doc_id, text, label (0 or 1). Learns from a sample bounded by per_class rows of each class."""
-    rows = labelled.where(F.col("label").isin(0, 1)).select("doc_id", "text", "label")
-    counts = dict(rows.groupBy("label").count().collect())
-    keep = F.lit(False)
-    for label, n in counts.items():
-        rate = int(min(1.0, per_class / n) * 1_000_000) + 1
-        keep = keep | ((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < rate))
-    got = rows.where(keep).mapInPandas(_sample_rows(identity), _SAMPLE).limit(3 * per_class).toPandas()
+def drawn(labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
+    """doc_id, label: of each class the ids that their hash puts first, per_class at most; equal hashes by id."""
+    ids = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "label").distinct()
+    h = F.xxhash64("doc_id", F.lit(6))
+    one, two = (ids.where(F.col("label") == k).orderBy(h, "doc_id").limit(per_class) for k in (0, 1))
+    return one.unionByName(two)
+
+
+def fit(docs: DataFrame, labels: DataFrame, identity=IDENTITY, per_class: int = TRAIN_PER_CLASS, cf_weight: float = CF_WEIGHT) -> Model:
+    """docs: doc_id, text; labels: doc_id, label (0 or 1). Learns from per_class ids of each class at most.
+
+    The draw is made on the labels alone; its ids, two times per_class at most, are broadcast to the texts, which stay where
+    they are, and one row of features for each comes back.
+    """
+    use = drawn(labels, per_class)
+    texts = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    got = texts.select("text", "label").mapInPandas(_sample_rows(identity), _SAMPLE).toPandas()
     got = got.sort_values(["label", "features"], kind="stable")  # results don't depend on the order of partitions
     read = lambda b: np.frombuffer(bytes(b), np.int32)
     texts = [read(b) for b in got["features"]]
@@ -231,22 +241,21 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            z = np.array([shared.value.score_words(words_of(t), cache) for t in batch.column(at).to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in held], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=[*kept, *out])
+            for part in slices(batch, at):
+                z = np.array([shared.value.score_words(words_of(t.as_py()), cache) for t in part.column(at)])
+                p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in held], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=[*kept, *out])
 
     return slim.mapInArrow(rows, schema)
 
 
 def held_out(id_col: str = "doc_id"):
-    return crc_mod(id_col, 5) == 0
+    return F.coalesce(crc_mod(id_col, 5) == 0, F.lit(True))
 
 
 def learnt(docs: DataFrame, labels: DataFrame) -> Model:
     """The model that the labels outside the held-out fifth teach."""
-    use = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("label").isNotNull() & ~held_out())
-    # Few rows have a label: their ids go to the documents, whose texts stay where they are unless they have one.
-    return fit(docs.select("doc_id", "text").join(use, "doc_id"))
+    return fit(docs, labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(~held_out()))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

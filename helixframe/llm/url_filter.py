@@ -4,8 +4,14 @@ The array holds one key per listed string in rising order; each hit is confirmed
 strings whose keys collide stay side by side, so a collision can neither block nor hide anything. The file travels with
 Spark's own file distribution (each executor fetches it again whenever it starts), and workers map it read-only.
 
-Rows are judged one by one: hot hosts cost nothing extra. A null url, or one without "://", has empty host and path, no
-rule and verdict "allow".
+Rows are judged one by one: hot hosts cost nothing extra, and repeated rows are judged alike. Of a host only the suffixes are
+probed that are no longer than the longest listed one, so a host of any number of dots costs time in proportion to its
+length. A null url, or one without "://", has empty host and path, no rule and verdict "allow"; a null id stays null. Of
+rules of equal length that fit, the one with the longer host wins. An empty table gives an empty table. Extra columns are
+not read.
+
+The list is a parameter and is built on the driver, which holds it once more than its file has bytes; workers share the
+mapped pages.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import shared_dir
+from helixframe.llm.common import shared_dir, slices
 
 MAGIC = b"UDA1"
 
@@ -88,7 +94,8 @@ def published(spark, strings: Iterable[str]) -> str:
     if not fs.exists(p):
         with_hash = jvm.org.apache.hadoop.fs.Path(f"{path}.{os.getpid()}.tmp")
         out = fs.create(with_hash, True)
-        out.write(bytearray(data))
+        for at in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[at : at + (1 << 20)]))
         out.close()
         if not fs.rename(with_hash, p):
             fs.delete(with_hash, False)
@@ -97,10 +104,16 @@ def published(spark, strings: Iterable[str]) -> str:
     return name
 
 
-def suffixes(host: str) -> list[str]:
-    """host and all its parent domains, the longest first."""
-    parts = host.split(".")
-    return [".".join(parts[i:]) for i in range(len(parts))] if host else []
+def suffixes(host: str, longest: int | None = None) -> list[str]:
+    """host and all its parent domains, the longest first; those of at most longest characters."""
+    out = []
+    if host and (longest is None or len(host) <= longest):
+        out.append(host)
+    at = host.find(".", max(0, len(host) - 1 - longest) if longest is not None else 0)
+    while at >= 0:
+        out.append(host[at + 1 :])
+        at = host.find(".", at + 1)
+    return out
 
 
 def _split(column: str):
@@ -129,13 +142,15 @@ def judge(
     """
     verdicts = {f"{h}{p}": v for v, h, p in rules}
     lengths = sorted({len(p) for _, _, p in rules}, reverse=True)
+    blocked_hosts = list(blocked_hosts)
+    longest = max((len(h) for h in [*(h for _, h, _ in rules), *blocked_hosts]), default=0)
     name = published(pages.sparkSession, [*(f"{h}\t{p}" for _, h, p in rules), *blocked_hosts])
     host, path = _split(url_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = DigestArray(SparkFiles.get(name))
         known: dict[str, list[str]] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             probes: dict[bytes, int] = {}
             tried = []
@@ -144,7 +159,7 @@ def judge(
                     known.clear()
                 above = known.get(h)
                 if above is None:
-                    above = known[h] = suffixes(h)
+                    above = known[h] = suffixes(h, longest)
                 heads = [p[:n] for n in lengths if len(p) >= n]
                 tried.append((above, heads))
                 for s in above:
@@ -165,5 +180,5 @@ def judge(
                 names=["id", "host", "path", "rule", "verdict", "listed"],
             )
 
-    slim = pages.select(pages[id_col].cast("bigint").alias("id"), host.alias("host"), path.alias("path"))
-    return slim.mapInArrow(rows, "id bigint, host string, path string, rule string, verdict string, listed boolean").withColumnRenamed("id", id_col)
+    slim = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"))
+    return slim.mapInArrow(rows, f"id {slim.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string, listed boolean").withColumnRenamed("id", id_col)

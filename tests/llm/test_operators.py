@@ -73,7 +73,7 @@ def test_near_duplicates_equal_brute_force(spark):
                 w[rng.randrange(len(w))] = rng.choice(WORDS) + "z" + str(rng.randrange(9))
             rows.append((len(rows) * 3 + 1, " ".join(w) if rng.random() < 0.8 else " ".join(w).upper()))
     rows += [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  b"), (1004, "a b c")]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.query(docs_of(spark, rows)).collect()}
     assert got == component_of(rows)
 
 
@@ -87,7 +87,7 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(len(w))] = f"z{rng.randrange(50)}"
         rows.append((i, " ".join(w)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.query(docs_of(spark, rows)).collect()}
     assert got == component_of(rows)
 
 

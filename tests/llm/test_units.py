@@ -134,13 +134,14 @@ def test_language():
     words = {"en": ["the", "house", "with", "thing"], "de": ["der", "schön", "und", "nicht"], "fr": ["où", "été", "que", "leaux"]}
     make = lambda g, n: " ".join(rng.choice(words[g]) for _ in range(n))
     texts, langs = zip(*[(make(g, 60), g) for g in words for _ in range(30)])
-    net = langid.train(list(texts), list(langs), steps=150)
+    taught = [(w, g) for t, g in zip(texts, langs) for w in langid.teaching_windows(t)]
+    net = langid.train(*map(list, zip(*taught)), steps=150)
     test = [(make(g, n), g) for g in words for n in (3, 40, 900)]
     names, scores = langid.classify(net, [t for t, _ in test])
     assert np.mean([a == b for a, (_, b) in zip(names, test)]) > 0.85 and all(0 <= s <= 1 for s in scores)
     assert langid.classify(net, [None, "", "123 !", "été"])[0][:3] == ["und"] * 3
     assert langid.classify(langid.train([], []), ["abc"]) == (["und"], [0.0])
-    assert langid.classify(langid.train(["abc"], ["en"]), ["abc"])[0] == ["en"]
+    assert langid.classify(langid.train([b"abc"], ["en"]), ["abc"])[0] == ["en"]
     whole = langid.classify(net, [t for t, _ in test])
     alone = [langid.classify(net, [t]) for t, _ in test]
     assert whole[0] == [a[0][0] for a in alone]
