@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import slices, stored
+from helixframe.llm.common import hot_join, slices, stored
 
 SHINGLE, PERCENT = 5, 85
 #: A pair at the threshold misses all bands with a chance of (1 - 0.85 ** ROWS) ** BANDS, about 3 in 10 million.
@@ -42,8 +42,6 @@ BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 #: Rows and shingles in a block of a bucket that the star leaves open.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_500_000
-#: Rows of a key above which it is joined by a broadcast, and how many such keys are broadcast at most (of about 50 bytes).
-HOT, HOT_KEYS = 20_000, 500_000
 #: Edges of a hub that meet one copy of its set.
 HUB_EDGES = 2_000
 #: Texts of one id that differ, and rows without an id, get numbers from here on.
@@ -160,17 +158,6 @@ def node_of(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), F.lit(_NAMELESS) + F.xxhash64(text).bitwiseAND(F.lit(_SPLIT - 1)))
 
 
-def _joined(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
-    """left.join(right, key), one row of right for each key, with the count of its rows in left. Keys of very many rows are
-    broadcast, so that their rows aren't gathered; beyond HOT_KEYS of these, which then have HOT rows each, all shuffle."""
-    hot = right.where(F.col(count) > HOT)
-    n = hot.limit(HOT_KEYS + 1).count()
-    if not 0 < n <= HOT_KEYS:
-        return left.join(right, key)
-    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(count) <= HOT), key)
-    return left.join(F.broadcast(hot), key).unionByName(cold)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (the smallest id that it reaches), for every id on an edge. Edges: any order, no nulls.
 
@@ -184,11 +171,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Large star: neighbours above u move to the smallest that u knows, itself included.
         all_ = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = all_.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("many"))
-        large = _joined(all_.where("v > u"), low, "u", "many").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hot_join(all_.where("v > u"), low, "u", "many").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: neighbours at or below u move to the smallest.
         large = stored(large, "cc-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many"))
-        small = _joined(large, low, "u", "many").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = hot_join(large, low, "u", "many").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
@@ -202,7 +189,7 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose full sets are similar; b is the hub. The set of a hub of many edges is copied, so that some
     thousands of these meet each copy."""
     degree = edges.groupBy("b").agg(F.count(F.lit(1)).alias("many"))
-    copies = _joined(edges, degree, "b", "many").select("a", "b", F.ceil(F.col("many") / HUB_EDGES).alias("copies"))
+    copies = hot_join(edges, degree, "b", "many").select("a", "b", F.ceil(F.col("many") / HUB_EDGES).alias("copies"))
     salted = copies.select("a", "b", F.pmod(F.xxhash64("a", F.lit(5)), F.col("copies")).alias("copy"))
     hubs = degree.select("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("many") / HUB_EDGES) - 1)).alias("copy"))
     hubs = hubs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
@@ -267,7 +254,7 @@ def _rest(member: DataFrame, comp: DataFrame, classes: DataFrame, full: DataFram
     blocks = lambda m, s: F.ceil(F.greatest(m / F.lit(BLOCK_ROWS), s / F.lit(BLOCK_SHINGLES)))
     # Two members have met as hub and member.
     spread = spread.where("kinds > 1 and m > 2").select("key", "m", F.col("top.c").alias("largest"), blocks(F.col("m"), F.col("s")).alias("blocks"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("rest"), blocks(F.col("top.m"), F.col("top.s")).alias("tops"))
-    rows = stored(_joined(tagged, spread, "key", "m"), "nd-open")
+    rows = stored(hot_join(tagged, spread, "key", "m"), "nd-open")
     total = rows.agg(F.sum("n")).first()[0]
     if total is None:
         return None
@@ -305,7 +292,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Buckets of one are gone before anything is joined or stored. The hub is the smallest id: most buckets of a group of
     # copies agree on it, so that their edges are the same.
     hubs = member.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rep", "n")).alias("hub")).where("m > 1")
-    member = stored(_joined(member, hubs, "key", "m").drop("m"), "nd-members")
+    member = stored(hot_join(member, hubs, "key", "m").drop("m"), "nd-members")
     touched = member.select(F.col("rep").alias("doc_id")).distinct()
     full = stored(_shingle_sets(slim.join(touched, "doc_id", "left_semi")).distinct(), "nd-full")
     near = member.where("rep <> hub.rep").where(F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
@@ -317,7 +304,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if more is not None:
         comp = stored(components(good.unionByName(more)), "nd-comp")
     by_class = classes.select("digest", "rep", "many").join(comp, F.col("rep") == F.col("id"), "left").select("digest", "many", F.coalesce("component", "rep").alias("component"))
-    linked = _joined(sets.where(F.col("digest").isNotNull()), by_class, "digest", "many").select(F.col("doc_id").alias("node"), "n_shingles", "component")
+    linked = hot_join(sets.where(F.col("digest").isNotNull()), by_class, "digest", "many").select(F.col("doc_id").alias("node"), "n_shingles", "component")
     # Empty sets share no key that they could meet under.
     out = linked.unionByName(sets.where(F.col("digest").isNull()).select(F.col("doc_id").alias("node"), "n_shingles", F.col("doc_id").alias("component")))
     if split is None:

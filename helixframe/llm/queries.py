@@ -113,25 +113,29 @@ SELECT doc_id, item_id, matched_windows, item_windows, matched_windows::DOUBLE /
 
 
 def _licenses_sql() -> str:
-    """All lines and paragraphs of all texts against all templates: the anchors that spare the query most of them are left out."""
+    """All lines, paragraphs and sentences of all texts against all templates: the anchors and the bound on other words, which
+    spare the query most of them, are left out."""
     idf, vectors, other = licenses._model(licenses.TEMPLATES)
     terms = ", ".join(f"('{w}', {x:.17e})" for w, x in sorted(idf.items()))
-    weights = ", ".join(f"({i}, '{licenses.TEMPLATES[i][0]}', '{w}', {x:.17e})" for i, v in enumerate(vectors) for w, x in v.items())
+    weights = ", ".join(f"({i}, '{licenses.TEMPLATES[i][0]}', {licenses.rank(licenses.TEMPLATES[i])}, '{w}', {x:.17e})" for i, v in enumerate(vectors) for w, x in v.items())
     stop = ", ".join(f"'{w}'" for w in licenses.STOP)
     end = r"(?:\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}])"
     split = lambda by: f"string_split_regex(t, '{by}')"
-    return rf"""WITH idf(term, idf) AS (VALUES {terms}), tpl(template, license, term, weight) AS (VALUES {weights}),
-f AS (SELECT doc_id, lower(coalesce(text, '')) AS t, coalesce(source, 'none') AS src, concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', cast(cast(floor(doc_id / 100) AS bigint) AS varchar)) AS folder FROM documents),
+    return rf"""WITH idf(term, idf) AS (VALUES {terms}), tpl(template, license, rank, term, weight) AS (VALUES {weights}),
+f AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '(?m){licenses.COMMENT}', '', 'g') AS t, coalesce(source, 'none') AS src, concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', cast(cast(floor(doc_id / 100) AS bigint) AS varchar)) AS folder FROM documents),
 paths AS (SELECT doc_id, CASE WHEN doc_id % 1000 = 0 THEN src ELSE folder END AS dir,
   CASE WHEN doc_id % 1000 = 0 THEN 'LICENSE' WHEN doc_id % 10 = 0 THEN concat('LICENSE-', cast(doc_id % 100 AS varchar), '.txt') ELSE concat(cast(doc_id AS varchar), '.txt') END AS file FROM f),
-units AS (SELECT doc_id, unnest(list_distinct(list_concat({split(end)}, {split(end + r"[ \t\n\x0B\f\r]*" + end)}))) AS unit FROM f),
+long AS (SELECT doc_id, list_concat({split(end)}, {split(end + r"[ \t\n\x0B\f\r]*" + end)}) AS us FROM f),
+spoken AS (SELECT doc_id, unnest(us) AS unit FROM long),
+sentences AS (SELECT doc_id, unnest(string_split(regexp_replace(unit, '{licenses.SENTENCE}', '\1' || chr(1), 'g'), chr(1))) AS unit FROM spoken),
+units AS (SELECT doc_id, unit FROM spoken UNION SELECT doc_id, unit FROM sentences),
 u AS (SELECT doc_id, row_number() OVER () AS u, unit FROM units),
 w AS (SELECT doc_id, u, unnest(regexp_extract_all(unit, '{licenses._TERM}')) AS term FROM u),
 tf AS (SELECT doc_id, u, w.term, count(*) * coalesce(any_value(idf), {other:.17e}) AS x FROM w LEFT JOIN idf ON idf.term = w.term WHERE w.term NOT IN ({stop}) GROUP BY 1, 2, 3),
-norm AS (SELECT u, sqrt(sum(x * x)) AS norm FROM tf GROUP BY 1),
-dot AS (SELECT doc_id, u, template, license, sum(weight * x) AS dot FROM tf JOIN tpl ON tpl.term = tf.term GROUP BY 1, 2, 3, 4),
-scored AS (SELECT doc_id, license, round(dot / norm, 6) AS score FROM dot JOIN norm ON norm.u = dot.u),
-own AS (SELECT doc_id, license, score FROM scored WHERE score >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+norm AS (SELECT u, sqrt(sum(x * x)) AS norm, CASE count(*) WHEN 1 THEN 2 WHEN 2 THEN {licenses.LEAST_OF_TWO} ELSE {licenses.LEAST} END AS bar FROM tf GROUP BY 1),
+dot AS (SELECT doc_id, u, template, license, rank, sum(weight * x) AS dot FROM tf JOIN tpl ON tpl.term = tf.term GROUP BY 1, 2, 3, 4, 5),
+scored AS (SELECT doc_id, license, rank, round(dot / norm, 6) AS score, bar FROM dot JOIN norm ON norm.u = dot.u),
+own AS (SELECT doc_id, license, score FROM scored WHERE score >= bar QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, score DESC, license) = 1),
 held AS (SELECT dir, license, score FROM paths JOIN own ON own.doc_id = paths.doc_id WHERE regexp_matches(file, '{licenses.LICENSE_FILE}') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, file) = 1),
 near AS (SELECT d.dir, h.dir AS up, h.license, h.score FROM (SELECT DISTINCT dir FROM paths) d JOIN held h ON d.dir = h.dir OR starts_with(d.dir, concat(h.dir, '/')) QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(h.dir) DESC) = 1)
 SELECT p.doc_id, concat(p.dir, '/', p.file) AS path, coalesce(o.license, n.license) AS license, coalesce(o.score, n.score) AS score,

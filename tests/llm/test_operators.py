@@ -168,29 +168,36 @@ def test_licenses(spark):
 def cosine(text, templates=licenses.TEMPLATES):
     """Best licence of a text by plain loops."""
     idf, vectors, other = licenses._model(templates)
-    best = (0.0, None)
-    for unit in set(re.split(r"\n", text.lower()) + re.split(r"\n\s*\n", text.lower())):
+    plain = "\n".join(re.sub(licenses.COMMENT, "", x) for x in text.lower().split("\n"))
+    units = re.split(r"\n", plain) + re.split(r"\n\s*\n", plain)
+    units += [x for u in units for x in re.split(r"(?<=[.!?])\s+", u)]
+    best = (-9, 0.0, None)
+    for unit in set(units):
         tf = {}
         for w in re.findall("[a-z0-9]+", unit):
             if w not in licenses.STOP:
                 tf[w] = tf.get(w, 0) + 1
         norm = sum((c * idf.get(w, other)) ** 2 for w, c in tf.items()) ** 0.5
-        for (name, _), v in zip(templates, vectors):
+        bar = licenses.LEAST if len(tf) > 2 else licenses.LEAST_OF_TWO if len(tf) == 2 else 2
+        for t, v in zip(templates, vectors):
             s = round(sum(c * idf[w] * v[w] for w, c in tf.items() if w in v) / norm, 6) if norm else 0
-            if s >= licenses.LEAST and (s, [-ord(x) for x in name]) > (best[0], [-ord(x) for x in best[1] or "~"]):
-                best = (s, name)
-    return best
+            if s >= bar and (licenses.rank(t), s, [-ord(x) for x in t[0]]) > (*best[:2], [-ord(x) for x in best[2] or "~"]):
+                best = (licenses.rank(t), s, t[0])
+    return best[1:]
 
 
 def test_license_scores_equal_brute_force(spark):
     rng, rows = random.Random(3), []
     for i in range(80):
         lines = [prose(rng, 6)]
-        name, text = rng.choice(licenses.TEMPLATES)
-        w = text.split()
+        w = rng.choice(licenses.TEMPLATES)[1].split()
         for _ in range(rng.randrange(4)):
             w.insert(rng.randrange(len(w)), rng.choice(WORDS + ["license", "software"]))
         lines.insert(rng.randrange(2), " ".join(w))
+        if i % 3 == 0:
+            lines = ["# " + x for x in lines] + ["#", "", prose(rng, 9)]
+        if i % 5 == 0:
+            lines.append("All rights reserved. " + prose(rng, 3))
         rows.append((i, "\n".join(lines)))
     got = {r.key: (r.score, r.license) for r in licenses.own_licenses(spark.createDataFrame(rows, "key long, text string")).collect()}
     for i, text in rows:
