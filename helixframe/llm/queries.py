@@ -82,26 +82,23 @@ CASE {case(lambda v, h, p: v)} WHEN {listed} THEN 'block' ELSE 'allow' END AS ve
 
 
 def _tokens_sql(text: str) -> str:
-    """Tokens of a text. A pattern here can't look behind, so a name takes what stands around it along; three passes reach
-    names in a row, whose surroundings overlap."""
-    out = f"translate(coalesce({text}, ''), chr(2) || chr(3), '  ')"
-    for _ in range(3):
-        out = rf"regexp_replace({out}, '([\p{{L}}\p{{N}},;:][ \t\n\x0B\f\r])(\p{{Lu}}\p{{Ll}}+)([^\p{{L}}\p{{N}}]|$)', '\1' || chr(2) || '\2\3', 'g')"
-    out = rf"regexp_replace({out}, '\p{{N}}+([.,:/]\p{{N}}+)*', ' ' || chr(3) || '\0 ', 'g')"
-    return rf"regexp_extract_all(lower({out}), '\x02?[\p{{L}}\p{{M}}]+|\x03[^ ]+')"
+    """Tokens of a text as (lower case, class); classes are told from the tokens themselves, not from marks in the text."""
+    raw = rf"regexp_extract_all(coalesce({text}, ''), '\p{{N}}+(?:[.,:/]\p{{N}}+)*|[\p{{L}}\p{{M}}]+')"
+    common, units = (", ".join(f"'{x}'" for x in words) for words in (decontam.COMMON, decontam.UNITS))
+    capitals = lambda x: rf"regexp_full_match(coalesce({x}, ''), '\p{{Lu}}{{2,}}')"
+    return rf"""[{{'t': lower(x), 'c': CASE WHEN regexp_matches(x, '^\p{{N}}') THEN '<num>' WHEN lower(x) IN ({common}) AND lower(x) IN ({units}) THEN '<unit>' WHEN lower(x) IN ({common}) THEN lower(x) WHEN regexp_matches(x, '^\p{{Lu}}\p{{Ll}}') THEN '<name>'
+  WHEN {capitals('x')} AND length(x) <= {decontam.ACRONYM} AND NOT {capitals('raw[i - 1]')} AND NOT {capitals('raw[i + 1]')} THEN '<name>' WHEN lower(x) IN ({units}) THEN '<unit>' ELSE lower(x) END}} for x, i in raw] AS tc FROM (SELECT *, {raw} AS raw FROM """
 
 
 def _leaks_sql() -> str:
-    units = ", ".join(f"'{u}'" for u in decontam.UNITS)
-    canonical = f"[CASE WHEN starts_with(x, chr(2)) THEN '<name>' WHEN starts_with(x, chr(3)) THEN '<num>' WHEN x IN ({units}) THEN '<unit>' ELSE x END for x in toks]"
-    return f"""WITH b0 AS (SELECT item_id, {_tokens_sql('text')} AS toks FROM benchmark),
-b1 AS (SELECT item_id, toks, {canonical} AS can, least(len(toks), {decontam.WINDOW}) AS size FROM b0 WHERE len(toks) > 0),
+    return f"""WITH b0 AS (SELECT item_id, {_tokens_sql('text')} benchmark)),
+b1 AS (SELECT item_id, [x.t for x in tc] AS toks, [x.c for x in tc] AS can, least(len(tc), {decontam.WINDOW}) AS size FROM b0 WHERE len(tc) > 0),
 b2 AS (SELECT *, unnest(range(1, len(toks) - size + 2)) AS ipos FROM b1),
 b3 AS (SELECT DISTINCT item_id, size, ipos, can[ipos:ipos + size - 1] AS can, toks[ipos:ipos + size - 1] AS toks FROM b2),
 b4 AS (SELECT * FROM b3 WHERE len([c for c in can if NOT starts_with(c, '<')]) >= least({decontam.LITERALS}, size)),
 n AS (SELECT item_id, count(DISTINCT ipos) AS item_windows FROM b4 GROUP BY 1),
-d0 AS (SELECT doc_id, {_tokens_sql('text')} AS toks FROM documents),
-d1 AS (SELECT doc_id, toks, {canonical} AS can FROM d0),
+d0 AS (SELECT doc_id, {_tokens_sql('text')} documents)),
+d1 AS (SELECT doc_id, [x.t for x in tc] AS toks, [x.c for x in tc] AS can FROM d0),
 d2 AS (SELECT *, unnest(range(1, len(toks) - size + 2)) AS dpos FROM d1, (SELECT DISTINCT size FROM b4) WHERE len(toks) >= size),
 d3 AS (SELECT doc_id, size, dpos, can[dpos:dpos + size - 1] AS can, toks[dpos:dpos + size - 1] AS toks FROM d2),
 m AS (SELECT doc_id, item_id, ipos, dpos - ipos AS shift, d3.can AS can, b4.toks AS i, d3.toks AS d FROM d3 JOIN b4 ON d3.size = b4.size AND d3.can = b4.can),
