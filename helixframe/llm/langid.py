@@ -192,7 +192,8 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     """
     own = docs.select(docs[id_col].alias("i"), docs[lang_col].alias("l"), docs[text_col].alias("t")).where(F.col("l").isNotNull() & (F.length(F.trim("t")) > 0))
     # A language is a column of the network, so that one row for each of them fits the driver or no network does.
-    counts = [tuple(r) for r in own.groupBy("l").count().collect()]
+    different = own.select("l", "i", F.xxhash64("t")).distinct()
+    counts = [tuple(r) for r in different.groupBy("l").count().collect()]
     share = min(TRAIN_PER_LANG, max(1, TRAIN_ROWS // max(1, len(counts))))
     rates = F.broadcast(docs.sparkSession.createDataFrame([(lang, (2 * share + 100) / n * 1_000_000) for lang, n in counts], "of string, rate double"))
     h = F.xxhash64("i", F.lit(9))

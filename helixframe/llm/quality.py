@@ -2,18 +2,18 @@
 
 Overlapping heuristic labellers vote on each text (1 good, 0 poor, -1 no opinion). Expectation-maximisation over the
 counts of all vote patterns estimates each labeller's accuracy; the posterior of a pattern is a soft label, and soft
-labels train a hashed linear scorer that sees words' shapes and the text's ratios rather than the votes.
+labels train a hashed linear scorer that sees the words, their shapes and lengths and the text's ratios rather than the votes.
 
-A null text is the empty text; it gets no votes but "too short", and a score. Each row is judged on its own. Vote patterns
-are counted before they leave the executors: at most 3 ** labellers rows whatever the input.
+A null text is the empty text; it gets no votes but "too short", and a score. Each row is judged on its own, a text of any
+length as a whole. A score of 0.5 is kept. Rows that agree in id and features teach the scorer as one and count each for
+itself in the estimate; null ids are ids like others. Vote patterns are counted before they leave the executors: at most
+3 ** labellers rows whatever the input. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import itertools
-import operator
+import functools
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,64 +25,119 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import stored
+from helixframe.llm.common import slices, stored
 
-#: Texts that train the scorer at most (in expectation: drawn by the hash of the id).
+#: Rows that train the scorer at most: those that the hash of the id puts first.
 TRAIN_ROWS = 6000
-BITS, STEPS, RATE, L2 = 14, 300, 0.05, 1e-3
+BITS, STEPS, RATE, L2 = 16, 300, 0.05, 1e-3
 #: Rounds of expectation-maximisation, and the shift at which it stops.
 EM_ROUNDS, EM_SHIFT = 200, 1e-7
 
 RATIOS = ("symbols", "upper", "distinct", "top_word", "repeats", "stops", "bars", "length", "run", "bangs", "longest", "after")
 _PLAIN = frozenset(".,;:!?'\"()-")
-_kinds: dict[str, tuple[bool, bool, bool]] = {}
+#: Bits of a character's kind.
+_SYMBOL, _UPPER, _LETTER = 1, 2, 4
 
 
-def _kind(ch: str) -> tuple[bool, bool, bool]:
-    """Whether a character is a symbol, an upper-case letter, a letter."""
-    got = _kinds.get(ch)
-    if got is None:
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For each code point whether it is a symbol, an upper-case letter, a letter."""
+    table = np.zeros(0x110000, np.uint8)
+    for code in range(len(table)):
+        ch = chr(code)
         cat = unicodedata.category(ch)
-        got = _kinds[ch] = (not (cat[0] in "LMN" or ch.isspace() or ch in _PLAIN), cat == "Lu", cat[0] == "L")
-    return got
+        symbol = not (cat[0] in "LMN" or ch.isspace() or ch in _PLAIN)
+        table[code] = symbol * _SYMBOL | (cat == "Lu") * _UPPER | (cat[0] == "L") * _LETTER
+    return table
 
 
-def ratios(text: str | None, words: Counter | None = None) -> np.ndarray:
-    """The numbers that labellers and scorer look at, in the order of RATIOS."""
+def _bin(f: str) -> int:
+    return xxhash.xxh32_intdigest(f.encode()) & ((1 << BITS) - 1)
+
+
+class _Shapes(dict):
+    """What a character looks like."""
+
+    def __missing__(self, ch: str) -> str:
+        got = self[ch] = "A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch
+        return got
+
+
+_SHAPES = _Shapes()
+_LENGTH_BINS = [_bin(f"n{k}") for k in range(21)]
+
+
+@functools.lru_cache(100_000)
+def _shape_bin(shape: str) -> int:
+    return _bin("s" + shape)
+
+
+class Words:
+    """Numbers of the words met, and what is known of each: the number of its bare form, whether that is short, and the bins
+    of the word, the shape of its ends and its length. Starts anew when it is full: bounded memory."""
+
+    FULL = 300_000
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.bare: dict[str, int] = {}
+        self.known = np.zeros((1 << 12, 5), np.int64)
+
+    def numbers(self, run: list[str]) -> np.ndarray:
+        if len(self.number) > self.FULL:
+            self.__init__()
+        try:
+            return np.array([self.number[w] for w in run], np.int64)
+        except KeyError:
+            for w in run:
+                if w not in self.number:
+                    self._add(w)
+            return np.array([self.number[w] for w in run], np.int64)
+
+    def _add(self, w: str) -> None:
+        n = self.number[w] = len(self.number)
+        if n == len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        bare = w.lower().strip(".,;:!?")
+        shape = "".join(map(_SHAPES.__getitem__, w[:2] + w[-3:]))
+        self.known[n] = self.bare.setdefault(bare, len(self.bare)), len(bare) <= 3, _bin("w" + bare), _shape_bin(shape), _LENGTH_BINS[min(len(w), 20)]
+
+
+def looked_at(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that labellers and scorer look at, in the order of RATIOS, and what is known of each word."""
     text = text or ""
     run = text.split()
     n = len(run)
     if not n:
-        return np.zeros(len(RATIOS))
-    chars = Counter(text)
-    symbols = upper = letters = 0
-    for ch, c in chars.items():
-        k = _kind(ch)
-        symbols += c * k[0]
-        upper += c * k[1]
-        letters += c * k[2]
-    bare: Counter = Counter()
-    for w, c in (Counter(run) if words is None else words).items():
-        bare[w.lower().strip(".,;:!?")] += c
+        return np.zeros(len(RATIOS)), np.zeros((0, 5), np.int64)
+    number = words.numbers(run)
+    known = words.known[number]
+    kinds = np.bincount(_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=8)
+    count = lambda bit: int(kinds[[k for k in range(8) if k & bit]].sum())
+    bare = np.bincount(np.unique(known[:, 0], return_inverse=True)[1])
     lines = [x for x in text.split("\n") if x.strip()]
-    same = sum(map(operator.eq, run, run[1:]))
-    longest = max(sum(1 for _ in g) for _, g in itertools.groupby(run)) if same else 1
-    return np.array(
-        [
-            symbols / len(text),
-            upper / max(1, letters),
-            len(bare) / n,
-            max(bare.values()) / n,
-            1 - len(set(lines)) / max(1, len(lines)),
-            sum(c for w, c in bare.items() if len(w) <= 3) / n,
-            chars.get("|", 0) / n,
-            min(1.0, np.log1p(n) / 8),
-            same / n,
-            chars.get("!", 0) / n,
-            min(20, longest) / 20,
-            len(set(zip(run, run[1:]))) / max(1, n - 1),
-        ]
-    )
+    equal = number[1:] == number[:-1]
+    ends = np.flatnonzero(np.concatenate([~equal, [True]]))
+    pairs = len(np.unique(number[1:] * (len(words.number) + 1) + number[:-1]))
+    ratios = [
+        count(_SYMBOL) / len(text),
+        count(_UPPER) / max(1, count(_LETTER)),
+        len(bare) / n,
+        int(bare.max()) / n,
+        1 - len(set(lines)) / max(1, len(lines)),
+        int(known[:, 1].sum()) / n,
+        text.count("|") / n,
+        min(1.0, np.log1p(n) / 8),
+        int(equal.sum()) / n,
+        text.count("!") / n,
+        min(20, int(np.diff(ends, prepend=-1).max())) / 20,
+        pairs / max(1, n - 1),
+    ]
+    return np.array(ratios), known
+
+
+def ratios(text: str | None) -> np.ndarray:
+    return looked_at(text, Words())[0]
 
 
 def votes(r: np.ndarray) -> tuple[int, ...]:
@@ -148,39 +203,25 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray) -> Labell
     return model
 
 
-def _bin(f: str) -> int:
-    return xxhash.xxh32_intdigest(f.encode()) & ((1 << BITS) - 1)
+#: Places of the ratios' steps, behind the words' bins.
+_FINE = (1 << BITS) + 32 * np.arange(len(RATIOS))
+SIZE = (1 << BITS) + 32 * len(RATIOS)
 
 
-def _word_bins(w: str) -> tuple[int, int]:
-    """The shape of the word's ends, and its length."""
-    shape = "".join("A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch for ch in w[:2] + w[-3:])
-    return _bin("s" + shape), _bin(f"n{min(len(w), 20)}")
-
-
-def hashed(words: Counter, r: np.ndarray, cache: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse features: bins and values. Shares of word shapes and lengths, then the ratios in coarse steps."""
-    if len(cache) > 300_000:
-        cache.clear()
-    bins: dict[int, float] = {}
-    n = sum(words.values())
-    for w, c in words.items():
-        f = cache.get(w)
-        if f is None:
-            f = cache[w] = _word_bins(w)
-        for b in f:
-            bins[b] = bins.get(b, 0) + c
-    bins = {b: c / n for b, c in bins.items()}
-    for name, x in zip(RATIOS, r):
-        step = int(min(10, x * 20))
-        bins[_bin(f"r{name}{step}")] = bins[_bin(f"R{name}{step // 3}")] = 1.0
-    keys = sorted(bins)
-    return np.array(keys, np.int32), np.array([bins[b] for b in keys], np.float32)
+def hashed(known: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse features: bins in rising order and values. Shares of words, word shapes and lengths, then the ratios in fine
+    and coarse steps."""
+    bins = np.sort(known[:, 2:], axis=None)
+    ends = np.flatnonzero(np.append(bins[1:] != bins[:-1], True)) if len(bins) else np.zeros(0, np.int64)
+    counts = np.diff(ends, prepend=-1) / max(1, len(known))
+    step = np.minimum(10, r * 20).astype(np.int64)
+    keys = np.concatenate([bins[ends], np.stack([_FINE + step, _FINE + 16 + step // 3], axis=1).ravel()])
+    return keys.astype(np.int32), np.concatenate([counts, np.ones(2 * len(RATIOS))]).astype(np.float32)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray) -> np.ndarray:
     """Logistic regression on soft labels; the last weight is the bias."""
-    size = 1 << BITS
+    size = SIZE
     n = max(1, len(rows))
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     if not rows:
@@ -204,15 +245,15 @@ def _voted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                words = Counter((text or "").split())
-                r = ratios(text, words)
-                b, x = hashed(words, r, cache)
-                out.append((list(votes(r)), b.tobytes(), x.tobytes()))
-            v, b, x = zip(*out) if out else ((), (), ())
+        words = Words()
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            v, b, x = [], [], []
+            for text in batch.column(1):
+                r, known = looked_at(text.as_py(), words)
+                bins, values = hashed(known, r)
+                v.append(votes(r))
+                b.append(bins.tobytes())
+                x.append(values.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.list_(pa.int32())), pa.array(b, pa.binary()), pa.array(x, pa.binary())], names=["id", "votes", "bins", "vals"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("votes", T.ArrayType(T.IntegerType())), T.StructField("bins", T.BinaryType()), T.StructField("vals", T.BinaryType())])
@@ -235,8 +276,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counts = counted["count"].to_numpy(float)[order]
     model = expectation_maximisation(patterns, counts)
     total = counts.sum()
-    rate = int(min(1.0, TRAIN_ROWS / max(total, 1)) * 1_000_000) + 1
-    sample = voted.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1_000_000)) < rate).orderBy("id", "bins").limit(2 * TRAIN_ROWS).toPandas()
+    # Thinned by the hash before the order is looked at, so that no task holds more than some thousand rows.
+    place = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1_000_000))
+    near = voted.where(place < (2 * TRAIN_ROWS + 100) / max(total, 1) * 1_000_000).groupBy("id", "votes", "bins", "vals").agg(F.count(F.lit(1)).alias("n"))
+    sample = near.orderBy(place, "id", "bins", "vals").limit(TRAIN_ROWS).toPandas()
     read = lambda b, x: (np.frombuffer(bytes(b), np.int32), np.frombuffer(bytes(x), np.float32))
     soft = model.posterior(np.array([list(v) for v in sample["votes"]], int).reshape(-1, n_votes)) if len(sample) else np.zeros(0)
     w = train([read(b, x) for b, x in zip(sample["bins"], sample["vals"])], soft)

@@ -104,16 +104,15 @@ def test_quality():
     good = [" ".join(rng.choice(small) if rng.random() < 0.4 else rng.choice(large) for _ in range(rng.randint(30, 90))).capitalize() + "." for _ in range(60)]
     poor = ["$$$ &&& %%% ### " * 20, "BUY!! NOW!! " * 30, "spam spam spam spam " * 30, "a | b | c | d | " * 30] * 8
     texts = good + poor
+    words = quality.Words()
     r = [quality.ratios(t) for t in texts]
     v = np.array([quality.votes(x) for x in r])
     patterns, counts = np.unique(v, axis=0, return_counts=True)
     model = quality.expectation_maximisation(patterns, counts.astype(float))
     q = model.posterior(v)
     assert (q[:60] > 0.5).all() and (q[60:] < 0.5).mean() > 0.7
-    from collections import Counter
-
-    w = quality.train([quality.hashed(Counter(t.split()), x, {}) for t, x in zip(texts, r)], q)
-    s = [quality.score_of(w, *quality.hashed(Counter(t.split()), x, {})) for t, x in zip(texts, r)]
+    w = quality.train([quality.hashed(quality.looked_at(t, words)[1], x) for t, x in zip(texts, r)], q)
+    s = [quality.score_of(w, *quality.hashed(quality.looked_at(t, words)[1], x)) for t, x in zip(texts, r)]
     assert np.mean([(a >= 0.5) == (b >= 0.5) for a, b in zip(s, q)]) > 0.95
     assert len(quality.votes(quality.ratios(None))) == len(quality.votes(r[0]))
 
