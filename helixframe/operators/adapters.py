@@ -45,10 +45,16 @@ class Adapter:
         return min(self.min_overlap, len(self.sequence))
 
 
+#: How often braces repeat a character at most.
+MOST_REPEATS = 10_000
+
+
 def expand_braces(spec: str) -> str:
     """X{n} becomes n times X."""
     if re.sub(r"[^{}]", "", spec).replace("{}", "") or re.search(r"(^|[{}])\{|\{(?!\d+\})", spec):
         raise ValueError(f"braces don't fit in {spec}")
+    if any(int(n) > MOST_REPEATS for n in re.findall(r"\{(\d+)\}", spec)):
+        raise ValueError(f"a character is repeated more than {MOST_REPEATS} times in {spec}")
     return re.sub(r"(.)\{(\d+)\}", lambda m: m[1] * int(m[2]), spec)
 
 
@@ -66,6 +72,8 @@ def parse(spec: str, kind: str = "back", name: str | None = None, **how) -> Adap
             return replace(front, name=name or f"{front.sequence}...{last.sequence}", where="linked", back=last)
         if kind == "anywhere":
             raise ValueError("no part of a linked adapter can lie anywhere")
+        if not one and kind == "front":
+            raise ValueError("a 5' adapter can't follow dots")
         if one:  # A... : a 5' adapter, anchored for back
             return parse(one if one.startswith("^") or kind == "front" else f"^{one}", "front", name, **how)
         return parse(two, "back", name, **how)
@@ -89,8 +97,47 @@ def parse(spec: str, kind: str = "back", name: str | None = None, **how) -> Adap
     return Adapter(name or sequence, sequence, where, **how)
 
 
+def read_adapters(path: str) -> list[tuple[str, str]]:
+    """(name, sequence) of a FASTA file: adapter sets are small parameters, read on the driver."""
+    from helixframe.sources.records import _open, fasta_records
+
+    with _open(path) as f:
+        return [((r[0].split() or [""])[0], r[2]) for r in fasta_records(f, path)]
+
+
+class KnownAdapters:
+    """Named sequences, one name or several for each, with reverse complements if asked; kept as a FASTA file."""
+
+    def __init__(self, named: Sequence[tuple[str, str]] = (), reverse: bool = False):
+        self.names: dict[str, list[str]] = {}
+        for name, seq in named:
+            self.add(name, seq, reverse)
+
+    def add(self, name: str, seq: str, reverse: bool = False) -> None:
+        if name not in self.names.setdefault(seq, []):
+            self.names[seq].append(name)
+        if reverse:
+            self.add(f"{name}_rc", seq.translate(str.maketrans(dna.IUPAC, dna.COMPLEMENT))[::-1])
+
+    def sequence(self, name: str) -> str | None:
+        return next((s for s, names in self.names.items() if name in names), None)
+
+    def items(self) -> list[tuple[str, str]]:
+        return [(n, s) for s, names in self.names.items() for n in names]
+
+    def save(self, path: str) -> None:
+        with open(path, "w") as f:
+            f.writelines(f">{n}\n{s}\n" for n, s in self.items())
+
+    @classmethod
+    def load(cls, path: str, reverse: bool = False) -> KnownAdapters:
+        return cls(read_adapters(path), reverse)
+
+
 def parse_all(specs: Sequence[tuple[str, str]], **how) -> list[Adapter]:
-    """Adapters from (kind, spec); names that none gives are numbers."""
+    """Adapters from (kind, spec); names that none gives are numbers. file:PATH stands for all records of a FASTA file, whose
+    names end at the first white space."""
+    specs = [x for kind, spec in specs for x in ([(kind, f"{n}={s}") for n, s in read_adapters(spec[5:])] if spec.startswith("file:") else [(kind, spec)])]
     out = []
     for i, (kind, spec) in enumerate(specs, 1):
         a = parse(spec, kind, None, **how)

@@ -38,6 +38,24 @@ def detector_for(include: str, reads: int) -> str:
     return "known" if include == "known" else "heuristic" if reads <= HEURISTIC_READS else "kmer"
 
 
+def least_known(reads: int, length: int, contaminants: list[tuple[str, str]], over: float = 100.0) -> int:
+    """How many reads a known contaminant needs: over times what chance gives the shortest of them."""
+    k = min(len(s) for _, s in contaminants)
+    return ceil(reads * (length - k + 1) * over / 4**k)
+
+
+def frequent_known(reads: DataFrame, contaminants: list[tuple[str, str]], n_reads: int, length: int, k: int = 12, over: float = 100.0) -> DataFrame:
+    """kmer, n: k-mers over the threshold of counting alone, over times ceil(reads * windows / 4^k); exact counts of distinct
+    reads' k-mers instead of a sketch's. With contaminants only theirs, of either strand."""
+    counts = kmer_counts(reads.select("sequence").distinct(), k).where(F.col("n") >= ceil(n_reads * (length - k + 1) / 4**k) * over)
+    if not contaminants:
+        return counts
+    back = lambda s: s.translate(str.maketrans(dna.IUPAC, dna.COMPLEMENT))[::-1]
+    known = sorted({x[i : i + k] for _, s in contaminants for x in (s, back(s)) for i in range(len(x) - k + 1)})
+    table = reads.sparkSession.createDataFrame([(x,) for x in known], "kmer string")
+    return counts.join(F.broadcast(table) if len(known) <= BROADCAST_KMERS else table, "kmer", "left_semi")
+
+
 def known_fractions(reads: DataFrame, contaminants: list[tuple[str, str]], k: int = 12, least: float = 0.5) -> DataFrame:
     """name, reads, kmer_fraction: distinct reads of which more than a share of k-mers lies in a contaminant or its
     reverse complement, and the contaminant's best share. An equi-join on k-mers; the known side is a parameter."""
@@ -127,7 +145,9 @@ def detect(reads: DataFrame, contaminants: list[tuple[str, str]] = (), *, k: int
     if kind == "known":
         seqs = dict(contaminants)
         rows = known_fractions(own, list(contaminants), k, min_kmer_match).collect()
-        found = [Contaminant(seqs[r["name"]], r["reads"], (r["name"],)) for r in rows]
+        looked, first = some.agg(F.count(F.lit(1)), F.min_by(F.length("sequence"), "read_idx")).first()
+        least = least_known(max_reads or looked, first or 0, list(contaminants)) if contaminants else 0
+        found = [Contaminant(seqs[r["name"]], r["reads"], (r["name"],)) for r in rows if r["reads"] >= least]
     else:
         found = merge_substrings(frequent_kmers(own, k, min_frequency))
         named = []
@@ -139,3 +159,25 @@ def detect(reads: DataFrame, contaminants: list[tuple[str, str]] = (), *, k: int
         if include == "unknown":
             found = [c for c in found if not c.known]
     return sorted(found, key=lambda c: (-c.score, c.sequence))[:top]
+
+
+def reported(found: list[Contaminant], min_count: float = 0, min_len: int = 12, min_complexity: float = 1.1, include: str = "all", limit: int | None = TOP) -> list[Contaminant]:
+    """What a report shows: frequent, long and varied enough, known or unknown ones only if asked, the best first."""
+
+    def complexity(seq: str) -> float:
+        shares = [seq.upper().count(b) / len(seq) for b in "ACGT"] if seq else []
+        return -sum(f * log(f, 2) for f in shares if f)
+
+    keep = [c for c in found if c.count >= min_count and len(c.sequence) >= min_len and complexity(c.sequence) >= min_complexity and (include == "all" or bool(c.known) == (include == "known"))]
+    return sorted(keep, key=lambda c: (-c.score, c.sequence))[:limit]
+
+
+def detect_pairs(pairs: DataFrame, contaminants: list[tuple[str, str]] = (), **how) -> tuple[list[Contaminant], list[Contaminant]]:
+    """Contaminants of first and of second mates, each for themselves. pairs: read_idx, r1, r2."""
+    one, two = (pairs.where(F.col(r).isNotNull()).select("read_idx", F.col(f"{r}.sequence").alias("sequence")) for r in ("r1", "r2"))
+    return detect(one, contaminants, **how), detect(two, contaminants, **how)
+
+
+def fasta_lines(found: list[Contaminant]) -> str:
+    """Contaminants as FASTA: numbered, with count and the known names."""
+    return "".join(f">{i} count={c.count}{' known=' + ','.join(c.known) if c.known else ''}\n{c.sequence}\n" for i, c in enumerate(found, 1))

@@ -15,6 +15,7 @@ from helixframe.operators import filters as fi
 from helixframe.operators import modifiers as mo
 from helixframe.operators import pairs as pa
 from helixframe.operators import qc
+from helixframe.plans import values
 
 #: Presets of the bisulfite option that cut without looking at the sequence.
 MIRNA = {"adapters": (("back", "TGGAATTCTCGG"),), "quality_cutoff": (20, 20), "minimum_length": 16, "error_rate": 0.12}
@@ -203,12 +204,16 @@ class TrimPlan:
 
 
 def summary(routed: DataFrame) -> DataFrame:
-    """Per dest: records, bases, records with adapters, bases cut, and fractions of all records."""
+    """Per dest: records, bases, records with adapters, bases cut by trims and from adapters on, mean length, and fractions of
+    all records. Bases from adapters on are those of the recorded matches, whatever the action did with them."""
+    removed = F.aggregate("matches", F.lit(0), lambda a, m: a + F.when(m["front"], m["rstop"]).otherwise(m["length"] - m["rstart"]))
     by = routed.groupBy("dest").agg(
         F.count(F.lit(1)).alias("records"),
         F.sum(F.length("sequence")).alias("bp"),
         F.sum(F.col("adapter_name").isNotNull().cast("long")).alias("records_with_adapters"),
         F.sum(F.aggregate("clipped", F.lit(0), lambda a, x: a + x)).alias("bp_clipped"),
+        F.sum(removed).alias("bp_adapters"),
+        F.avg(F.length("sequence")).alias("mean_length"),
     )
     total = by.agg(F.sum("records").alias("total_records"), F.sum("bp").alias("total_bp"))
     # One row: the scalar totals.
@@ -216,11 +221,14 @@ def summary(routed: DataFrame) -> DataFrame:
 
 
 def pair_summary(routed: DataFrame) -> DataFrame:
-    """Per dest: pairs, and for each mate bases and reads with adapters, with shares of all. A missing mate has no bases."""
-    sums = [F.count(F.lit(1)).alias("n_pairs")]
+    """Per dest: pairs, those with a corrected base, and for each mate bases, reads with adapters and corrected bases, with
+    shares of all. A missing mate has no bases."""
+    fixed = F.coalesce(F.col("r1.corrected"), F.lit(0)) + F.coalesce(F.col("r2.corrected"), F.lit(0))
+    sums = [F.count(F.lit(1)).alias("n_pairs"), F.sum((fixed > 0).cast("long")).alias("n_corrected")]
     for k in ("1", "2"):
         sums.append(F.sum(F.coalesce(F.length(f"r{k}.sequence"), F.lit(0))).alias(f"read{k}_bp"))
         sums.append(F.sum(F.col(f"r{k}.adapter_name").isNotNull().cast("long")).alias(f"read{k}_with_adapters"))
+        sums.append(F.sum(F.coalesce(F.col(f"r{k}.corrected"), F.lit(0))).alias(f"read{k}_corrected"))
     by = routed.groupBy("dest").agg(*sums)
     parts = ("n_pairs", "read1_bp", "read2_bp")
     total = by.agg(*[F.sum(c).alias(f"total_{c}") for c in parts])
@@ -240,9 +248,12 @@ def statistics(reads: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def report(routed: DataFrame, as_json: bool = True) -> str:
-    """The summary as JSON or as text."""
+def report(routed: DataFrame, as_json: bool = True, kind: str | None = None) -> str:
+    """The summary as json, yaml or text (kind; by default json, or text if not as_json)."""
     rows = [r.asDict() for r in summary(routed).orderBy("dest").collect()]
-    if as_json:
+    kind = kind or ("json" if as_json else "text")
+    if kind == "json":
         return json.dumps({"dest": rows}, indent=1)
+    if kind == "yaml":
+        return values.as_yaml({"dest": rows})
     return "\n".join(f"{r['dest']}: {r['records']} reads ({100 * r['fraction_records']:.1f}%), {r['bp']} bp, {r['records_with_adapters']} with adapters" for r in rows)

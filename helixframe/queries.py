@@ -580,6 +580,12 @@ def detect_heuristic(r):
     return r.sparkSession.createDataFrame([(c.sequence, c.count, ",".join(c.known)) for c in found], "sequence string, n bigint, known string")
 
 
-@query()
+@query("""u AS (SELECT sequence, count(*)::DOUBLE AS n, length(sequence) AS l FROM reads WHERE sequence <> '' AND strpos(sequence, 'N') = 0 AND sequence <> repeat(substr(sequence, 1, 1), length(sequence)) GROUP BY 1),
+m AS (SELECT l, i, concat(substr(sequence, 1, i - 1), '*', substr(sequence, i + 1)) AS s, n FROM (SELECT *, unnest(range(1, l + 1)) AS i FROM u)),
+g AS (SELECT sum(n) AS s, sum(n * n) AS q FROM m GROUP BY l, i, m.s), p AS (SELECT coalesce(sum(s * s - q), 0) AS products FROM g),
+w AS (SELECT sum(l)::BIGINT AS bases, avg(l) AS l, sum(n * n) AS squares FROM u)
+SELECT bases, round(products / squares * 1e9)::BIGINT AS slope, round((1 - pow(1 / (1 + products / squares), 1 / l)) * 1e12)::BIGINT AS error_rate FROM w, p""")
 def shadow_regression(r):
-    return error.shadow_error_rate(r)
+    """Slope and rate in steps of 10 ** -9 and 10 ** -12."""
+    out = error.shadow_error_rate(r)
+    return out.select("bases", F.round(F.col("slope") * 1e9).cast("bigint").alias("slope"), F.round(F.col("error_rate") * 1e12).cast("bigint").alias("error_rate"))

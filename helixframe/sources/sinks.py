@@ -79,3 +79,22 @@ def info_lines(info: DataFrame) -> DataFrame:
 
 def wildcard_lines(bases: DataFrame) -> DataFrame:
     return bases.select("read_idx", F.concat_ws(" ", "bases", "name").alias("value"))
+
+
+def write_pairs(pairs: DataFrame, path1: str, path2: str, kind: str = "fastq", **how) -> None:
+    """Two folders of files, both in input order, so that the n-th records of the two are mates. Pairs whose second mate is
+    gone belong elsewhere: route them first."""
+    both = pairs.where(F.col("r2").isNotNull())
+    write(records(both, kind, "r1."), path1, ordered=True, **how)
+    write(records(both, kind, "r2."), path2, ordered=True, **how)
+
+
+def write_all(reads: DataFrame, path: str, dests: list[str], kind: str = "fastq", **how) -> None:
+    """As write_routed(), with a folder for each of dests even if it gets no read."""
+    write_routed(reads, path, kind, **how)
+    jvm = reads.sparkSession._jvm
+    for dest in dests:
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/dest={dest}/_EMPTY")
+        fs = p.getFileSystem(reads.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p.getParent()):
+            fs.create(p, True).close()
