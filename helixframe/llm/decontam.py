@@ -51,8 +51,9 @@ ACRONYM = 5
 def tokens(text: Column) -> Column:
     """Words and numbers in order, in lower case; numbers and names are marked."""
     plain = F.translate(F.coalesce(text, F.lit("")), _NAME + _NUMBER + _CAPITALS, "   ")
-    named = F.regexp_replace(plain, r"(?<![\p{L}\p{M}])(?=\p{Lu}\p{Ll})", _NAME)
-    capital = F.regexp_replace(named, r"(?<![\p{L}\p{M}])(?=\p{Lu}{2,}(?![\p{L}\p{M}]))", _CAPITALS)
+    # The capital comes first: the look behind it is only taken where there is one.
+    named = F.regexp_replace(plain, r"\p{Lu}(?<![\p{L}\p{M}]\p{Lu})\p{Ll}", f"{_NAME}$0")
+    capital = F.regexp_replace(named, r"\p{Lu}(?<![\p{L}\p{M}]\p{Lu})\p{Lu}++(?![\p{L}\p{M}])", f"{_CAPITALS}$0")
     counted = F.regexp_replace(capital, r"\p{N}+(?:[.,:/]\p{N}+)*", f" {_NUMBER}$0 ")
     raw = F.regexp_extract_all(F.lower(counted), F.lit(f"[{_NAME}{_CAPITALS}]?[\\p{{L}}\\p{{M}}]+|{_NUMBER}[^ ]+"), F.lit(0))
 
@@ -169,8 +170,13 @@ def matches(
         bench = F.broadcast(bench)
     texts = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("same"), tokens(docs[text_col]).alias("toks"))
     # Windows of all sizes in one pass. The join's look at the hash runs inside the scan's stage: only windows that hit leave it.
-    each = texts.select("id", "same", "toks", F.explode(_all_windows(F.col("toks"), sizes or [(window, False)])).alias("w"))
-    each = each.select("id", "same", "toks", F.col("w.h").alias("dh"), F.col("w.size").alias("dsize"), F.col("w.exact").alias("dexact"), (F.col("w.p") + 1).alias("dpos"))
+    sizes = sizes or [(window, False)]
+    if len(sizes) == 1:
+        size, exact = sizes[0]
+        each = texts.select("id", "same", "toks", F.posexplode(_windows(F.col("toks"), size, exact)).alias("p", "dh"), F.lit(size).alias("dsize"), F.lit(exact).alias("dexact")).withColumn("dpos", F.col("p") + 1)
+    else:
+        each = texts.select("id", "same", "toks", F.explode(_all_windows(F.col("toks"), sizes)).alias("w"))
+        each = each.select("id", "same", "toks", F.col("w.h").alias("dh"), F.col("w.size").alias("dsize"), F.col("w.exact").alias("dexact"), (F.col("w.p") + 1).alias("dpos"))
     hit = each.join(bench, (F.col("dh") == F.col("h")) & (F.col("dsize") == F.col("size")) & (F.col("dexact") == F.col("exact")))
     out = hit.select("id", "same", "item_id", "ipos", "item_windows", (F.col("dpos") - F.col("ipos")).alias("shift"), "item_slots", _slots(F.col("dpos"), F.col("size")).alias("doc_slots"))
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d")), lambda p: p["i"].isNotNull())
