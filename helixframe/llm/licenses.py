@@ -237,8 +237,9 @@ def scan(files: DataFrame, id_col: str, path_col: str = "path", text_col: str =
     of_dir = held.groupBy("dir").agg(F.min(F.struct((-F.col("own.score")).alias("s"), "path", "own.license")).alias("b")).select(F.col("dir").alias("up"), F.col("b.license").alias("dir_license"), (-F.col("b.s")).alias("dir_score"))
     dirs = stored(paths.groupBy("dir").agg(F.count(F.lit(1)).alias("files")), "license-dirs")
     ups = dirs.select("dir", "files", F.posexplode(_ancestors(F.col("dir"))).alias("far", "up"))
-    under = ups.groupBy("up").agg(F.count(F.lit(1)).alias("many")).join(of_dir, "up")
-    nearest = hot_join(ups, under, "up", "many").groupBy("dir").agg(F.min(F.struct("far", "up", "dir_license", "dir_score")).alias("n"), F.max("files").alias("files"))
+    # With those that hold no licence: an ancestor of very many directories is seen off without gathering them.
+    under = ups.groupBy("up").agg(F.count(F.lit(1)).alias("many")).join(of_dir, "up", "left")
+    nearest = hot_join(ups, under, "up", "many").where("dir_license is not null").groupBy("dir").agg(F.min(F.struct("far", "up", "dir_license", "dir_score")).alias("n"), F.max("files").alias("files"))
     nearest = nearest.select("dir", "files", F.col("n.up").alias("up"), "n.dir_license", "n.dir_score")
     rows = hot_join(paths, nearest, "dir", "files", "left")
     own = F.col("own.license")
