@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from helixframe.llm import decontam
 from helixframe.llm.queries import ORACLES
 
@@ -44,12 +42,12 @@ def test_names_anywhere(spark):
     assert all(r[0] == 1 for r in rows if r[1] in (0, 1, 2, 3, 4, 5))
 
 
-@pytest.mark.parametrize("lead", ["", "Question: ", "Q1, ", "so ", "Note; ", 'He asked "', "word\n", "THE END. ", "IBM "])
-def test_a_short_item_whatever_stands_before(spark, lead):
+def test_a_short_item_whatever_stands_before(spark):
     item = "What is the name of our capital town?"
-    docs = spark.createDataFrame([(1, lead + item + " Yes.")], "doc_id long, text string")
+    leads = ["", "Question: ", "Q1, ", "so ", "Note; ", 'He asked "', "word\n", "THE END. ", "IBM "]
+    docs = spark.createDataFrame([(i, lead + item + " Yes.") for i, lead in enumerate(leads)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    assert [r.coverage for r in decontam.query(docs, bench).collect()] == [1.0]
+    assert sorted((r.doc_id, r.coverage) for r in decontam.query(docs, bench).collect()) == [(i, 1.0) for i in range(len(leads))]
 
 
 def test_tokens(spark):
