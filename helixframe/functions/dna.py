@@ -50,12 +50,13 @@ def gc_percent(seq: Column) -> Column:
 
 def complexity(seq: Column) -> Column:
     """Shannon entropy of A, C, G and T in bits, 0 to 2; letters are upper-cased, others count for the length only."""
-    up, n = F.upper(seq), F.length(seq)
-    total = F.lit(0.0)
-    for base in "ACGT":
-        f = count_chars(up, base) / n
-        total = total - F.when(f > 0, f * F.log2(f)).otherwise(F.lit(0.0))
-    return F.when(n > 0, total).otherwise(F.lit(0.0))
+    def entropy(up: Column, n: Column) -> Column:
+        total = F.lit(0.0)
+        for base in "ACGT":
+            total = total - let(count_chars(up, base) / n, lambda f: F.when(f > 0, f * F.log2(f)).otherwise(F.lit(0.0)))
+        return F.when(n > 0, total).otherwise(F.lit(0.0))
+
+    return let(F.upper(seq), lambda up: let(F.length(seq), lambda n: entropy(up, n)))
 
 
 def quality_values(quals: Column, base: int = 33) -> Column:

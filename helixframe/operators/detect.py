@@ -5,15 +5,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil, log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
+from helixframe.operators import growth
+from helixframe.storage import fresh, removed
 
 #: Reads that a detector looks at by default, up to which it uses the heuristic, and rows that a report holds.
 MAX_READS, HEURISTIC_READS, TOP = 10_000, 50_000, 20
 #: K-mers of known sequences that are broadcast at most (about 60 bytes each); beyond, the join shuffles.
 BROADCAST_KMERS = 200_000
+#: Reads of a part that a frequent k-mer is in at least, for the parts to be searched by themselves.
+LEAST_IN_PART = 8
 
 
 def kmers(seq: Column, k: int) -> Column:
@@ -87,31 +93,85 @@ def abundance(reads: DataFrame, candidates: list[str]) -> DataFrame:
     return one.select(F.explode(pairs).alias("x")).select("x.*")
 
 
+def least_frequent(n: int, length: int, k: int, over: float) -> int:
+    """How many reads a k-mer must be in more than: a share of them, and 100 times what chance gives."""
+    return ceil(n * max(over, (length - k + 1) * 100 / 4**k))
+
+
 def frequent_kmers(reads: DataFrame, k: int = 12, over: float = 0.001, longest: int | None = None) -> list[tuple[str, int]]:
     """Maximal frequent k-mers with counts, longest first.
 
     k grows from the start size as long as k-mers are more frequent than chance: of length k + 1 only those are counted
-    whose first k-mer was frequent, by a semi-join with the table of the round before. All that is frequent is returned:
-    a read counts once for each of its k-mers, so a round has at most (bases a read) / over rows, however many the reads.
+    whose first k-mer was frequent. All that is frequent is returned: a read counts once for each of its k-mers, so a size
+    has at most (bases a read) / over of them, however many the reads. Two passes find the k-mers of all sizes
+    (helixframe.operators.growth). Where a share of a part's reads is hardly one read, a pass for each size does.
     """
-    own = reads.select("sequence").distinct().cache()
-    n, length = own.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("sequence")), F.lit(0))).first()
+    spark = reads.sparkSession
+    path = fresh(spark, "distinct-reads")
+    try:
+        reads.select("sequence").distinct().write.parquet(path)
+        own = spark.read.schema("sequence string").parquet(path)
+        n, letters, length = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("sequence")), F.lit(0)), F.coalesce(F.max(F.length("sequence")), F.lit(0))).first()
+        last = longest or length
+        if not n or k > min(last, length):
+            found = {}
+        elif letters < growth.PART_LETTERS or over * growth.PART_LETTERS * n / letters >= LEAST_IN_PART:
+            found = _in_two_passes(own.coalesce(max(1, letters // growth.PART_LETTERS)), n, length, k, over, last)
+        else:
+            found = _size_by_size(own, n, length, k, over, last)
+    finally:
+        removed(spark, path)
+    return sorted(found.items(), key=lambda x: (-len(x[0]) * log(max(x[1], 2)), x[0]))
+
+
+def _in_two_passes(own: DataFrame, n: int, length: int, k: int, over: float, last: int) -> dict[str, int]:
+    """Frequent k-mers of distinct reads: what is frequent in any part, counted in all."""
+    least = least_frequent(n, length, min(last, length), over)
+
+    def search(batches):
+        for p in growth.parts(batches):
+            yield pa.RecordBatch.from_pydict({"kmer": pa.array(growth.longest_frequent(p, k, last, least, n), pa.string())})
+
+    trie = growth.Trie([r[0] for r in own.mapInArrow(search, "kmer string").distinct().collect()], k)
+    if not trie.texts:
+        return {}
+    shared = own.sparkSession.sparkContext.broadcast(trie)
+
+    def count(batches):
+        total = np.zeros(len(shared.value.depth), np.int64)
+        for p in growth.parts(batches):
+            total += shared.value.counts(p)
+        node = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"node": node, "n": total[node]})
+
+    total = np.zeros(len(trie.depth), np.int64)
+    for node, c in own.mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n")).collect():
+        total[node] = c
+    shared.destroy()
+    need = np.array([least_frequent(n, length, max(k, i), over) for i in range(int(trie.depth.max()) + 1)])
+    frequent = (trie.depth < k) | (total > need[trie.depth])
+    for i in range(k + 1, len(need)):
+        at = np.flatnonzero(trie.depth == i)
+        frequent[at] &= frequent[trie.parent[at]]
+    return {trie.word(i): int(total[i]) for i in np.flatnonzero(frequent & (trie.depth >= k))}
+
+
+def _size_by_size(own: DataFrame, n: int, length: int, k: int, over: float, last: int) -> dict[str, int]:
+    """The same by a pass for each size: k-mers are counted after a semi-join with those of the size before."""
     found: dict[str, int] = {}
     layer: dict[str, int] = {}
-    while n and k <= (longest or length):
-        least = ceil(n * max(over, (length - k + 1) * 100 / 4**k))
+    while k <= last:
         counts = own.select(F.explode(F.array_distinct(kmers(F.col("sequence"), k))).alias("kmer"))
         if layer:
             known = own.sparkSession.createDataFrame([(x,) for x in layer], "p string")
             known = F.broadcast(known) if len(layer) <= BROADCAST_KMERS else known
             counts = counts.withColumn("p", F.substring("kmer", 1, k - 1)).join(known, "p", "left_semi")
-        layer = dict(map(tuple, counts.groupBy("kmer").count().where(F.col("count") > least).collect()))
+        layer = dict(map(tuple, counts.groupBy("kmer").count().where(F.col("count") > least_frequent(n, length, k, over)).collect()))
         if not layer:
             break
         found.update(layer)
         k += 1
-    own.unpersist()
-    return sorted(found.items(), key=lambda x: (-len(x[0]) * log(max(x[1], 2)), x[0]))
+    return found
 
 
 @dataclass(frozen=True)

@@ -56,10 +56,11 @@ def query(sql: str | None = None, source: Callable[[SparkSession, str], DataFram
     return register
 
 
-def _pieces(spark: SparkSession, sf_dir: str, size: Column) -> DataFrame:
+def _pieces(spark: SparkSession, sf_dir: str, size: Column, named: bool = True) -> DataFrame:
     """read_idx, name, sequence, quals (128 of them), v: all letters of each text in consecutive pieces, the last one
     shorter; a text that is null or without letters is one empty read. read_idx is doc_id * 2^25 + the piece's number, for
-    which no string is too long. Each piece is made once, inside the row, whatever is made of it later."""
+    which no string is too long. Each piece is made once, inside the row, whatever is made of it later. Unless named, only
+    read_idx and sequence: four digests a piece are left out."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     letters = F.translate(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), *_LETTERS)
     cut = dna.let(letters, lambda x: F.when(x == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(x, F.concat(F.lit(".{1,"), size.cast("string"), F.lit("}")), F.lit(0))))
@@ -67,8 +68,10 @@ def _pieces(spark: SparkSession, sf_dir: str, size: Column) -> DataFrame:
     md = lambda *c: F.md5(F.concat(*c).cast("binary"))
     quals = lambda s, n: F.translate(F.concat(md(s), md(n), md(n, s), md(s, n)), "0123456789abcdef", "#$&+/38<@BCDEFGH")
     one = lambda s, i: dna.let(F.concat(head, i.cast("string")), lambda n: F.struct(i.cast("bigint").alias("piece"), n.alias("name"), s.alias("sequence"), quals(s, n).alias("quals")))
-    rows = docs.select("doc_id", F.explode(F.transform(cut, one)).alias("x")).select("doc_id", "x.*")
     ident = F.col("doc_id").cast("bigint")
+    if not named:
+        return docs.select("doc_id", F.posexplode(cut).alias("piece", "sequence")).select((F.shiftleft(ident, 25) + F.col("piece")).alias("read_idx"), "sequence")
+    rows = docs.select("doc_id", F.explode(F.transform(cut, one)).alias("x")).select("doc_id", "x.*")
     return rows.select((F.shiftleft(ident, 25) + F.col("piece")).alias("read_idx"), "name", "sequence", "quals", (ident * 7 + F.col("piece")).alias("v"))
 
 
@@ -77,6 +80,11 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, F.lit(100)).select("read_idx", "name", "sequence", F.substring("quals", F.lit(1), F.length("sequence")).alias("qualities"))
 
 
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_idx and sequence of the same reads."""
+    return _pieces(spark, sf_dir, F.lit(100), named=False)
+
+
 def _swapped(text: Column, at: Column) -> Column:
     """text with another base at a place."""
     return F.concat(F.substring(text, F.lit(1), at - 1), F.translate(F.substring(text, at, F.lit(1)), "ACGT", "CATG"), F.substring(text, at + 1, F.length(text)))
@@ -574,7 +582,7 @@ def scan_fastq(r):
 # Detection
 
 
-@query()
+@query(source=sequences)
 def detect_heuristic(r):
     found = detect.detect(r, list(_KNOWN), max_reads=None)
     return r.sparkSession.createDataFrame([(c.sequence, c.count, ",".join(c.known)) for c in found], "sequence string, n bigint, known string")
