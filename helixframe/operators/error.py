@@ -9,10 +9,12 @@ from helixframe.functions import dna
 
 
 def quality_error_rate(reads: DataFrame, base: int = 33, max_bases: int | None = None, by: str | None = None) -> DataFrame:
-    """bases, errors and rate, over the first max_bases of each read."""
+    """bases, errors and rate, over the first max_bases of each read. Reads are summed up as decimals, since a sum of
+    doubles depends on their order."""
     q = F.col("qualities") if max_bases is None else F.substring("qualities", 1, max_bases)
-    group = reads.select(*([by] if by else []), F.length(q).cast("long").alias("n"), dna.error_sum(q, base).alias("e")).groupBy(*([by] if by else []))
-    return group.agg(F.sum("n").alias("bases"), F.sum("e").alias("errors"), (F.sum("e") / F.sum("n")).alias("error_rate"))
+    group = reads.select(*([by] if by else []), F.length(q).cast("long").alias("n"), dna.error_sum(q, base).cast("decimal(38,22)").alias("e")).groupBy(*([by] if by else []))
+    errors = F.sum("e").cast("double")
+    return group.agg(F.sum("n").alias("bases"), errors.alias("errors"), (errors / F.sum("n")).alias("error_rate"))
 
 
 def usable_read_counts(reads: DataFrame) -> DataFrame:
